@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from folioforge.llm import quality
+from folioforge.llm import lines, neardup, quality
 
 
 def queries() -> dict:
-    return {"op5_quality_rules": quality.op5_quality_rules}
+    return {
+        "op5_quality_rules": quality.op5_quality_rules,
+        "op7_minhash_dedup": neardup.op7_minhash_dedup,
+        "op9_line_dedup": lines.op9_line_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op5_quality_rules": quality.SQL}
+    found = {"op5_quality_rules": quality.SQL, "op9_line_dedup": lines.SQL}
     return {name: sql for name, sql in found.items() if sql}
