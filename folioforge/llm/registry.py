@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from folioforge.llm import lines, neardup, quality
+from folioforge.llm import decontaminate, lines, neardup, packing, quality
 
 
 def queries() -> dict:
     return {
+        "op2_decontaminate": decontaminate.op2_decontaminate,
+        "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op5_quality_rules": quality.op5_quality_rules,
         "op7_minhash_dedup": neardup.op7_minhash_dedup,
         "op9_line_dedup": lines.op9_line_dedup,
@@ -14,5 +16,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op5_quality_rules": quality.SQL, "op9_line_dedup": lines.SQL}
+    found = {"op2_decontaminate": decontaminate.SQL, "op5_quality_rules": quality.SQL, "op9_line_dedup": lines.SQL}
     return {name: sql for name, sql in found.items() if sql}
