@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioforge.llm import chat, decontaminate, html, lines, neardup, packing, quality, urls
+from folioforge.llm import chat, decontaminate, html, lines, neardup, packing, quality, urls, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_url_filters": urls.op1_url_filters,
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
+        "op4_warc": warc.op4_warc,
         "op5_quality_rules": quality.op5_quality_rules,
         "op6_chat_format": chat.op6_chat_format,
         "op7_minhash_dedup": neardup.op7_minhash_dedup,
@@ -19,5 +20,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op1_url_filters": urls.SQL, "op6_chat_format": chat.SQL, "op2_decontaminate": decontaminate.SQL, "op5_quality_rules": quality.SQL, "op9_line_dedup": lines.SQL}
+    found = {"op1_url_filters": urls.SQL, "op4_warc": warc.SQL, "op6_chat_format": chat.SQL, "op2_decontaminate": decontaminate.SQL, "op5_quality_rules": quality.SQL, "op9_line_dedup": lines.SQL}
     return {name: sql for name, sql in found.items() if sql}
