@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioforge.llm import chat, decontaminate, html, lines, neardup, packing, quality, urls, warc
+from folioforge.llm import chat, decontaminate, html, lines, neardup, packing, pii, quality, urls, warc
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_minhash_dedup": neardup.op7_minhash_dedup,
         "op8_html_extraction": html.op8_html_extraction,
         "op9_line_dedup": lines.op9_line_dedup,
+        "op10_pii": pii.op10_pii,
     }
 
 
