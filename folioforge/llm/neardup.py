@@ -23,18 +23,16 @@ class Tensoring:
 
     Each of `tensors` tensors has two collections of `half_keys` half keys of `rows` minhashes; every
     pair of half keys, one from each collection, makes a table.  tensors * half_keys ** 2 tables so
-    cost only 2 * tensors * half_keys * rows minhashes: 64 tables of six rows for 96 minhashes, where
-    plain banding computes 384.  A pair of similarity s meets in some table with probability
-    1 - (1 - (1 - (1 - s ** rows) ** half_keys) ** 2) ** tensors: 0.999997 at 0.85.
+    cost only 2 * tensors * half_keys * rows minhashes: 54 tables of six rows for 108 minhashes, where
+    plain banding computes 324.  A pair of similarity s meets in some table with probability
+    1 - (1 - (1 - (1 - s ** rows) ** half_keys) ** 2) ** tensors: 0.999998 at 0.85.
     """
 
-    tensors: int = 4
-    half_keys: int = 4
+    tensors: int = 6
+    half_keys: int = 3
     rows: int = 3
     shingle: int = 5
     percent: int = 85
-    #: Buckets of more unlinked members than this are split by a second table before their pairs are compared.
-    direct: int = 256
 
     @property
     def minhashes(self) -> int:
@@ -131,16 +129,45 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "high").join(right, "low").withColumn("common", common).where(f"100 * common >= {percent} * (size(s) + size(t) - common)").select("high", "low")
 
 
+#: Ids of a side that may be broadcast, by their counted number; more are joined.
+HELD_IDS = 1 << 20
+
+
+def _apart(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """Bucket members (`key`, `id`) with their component, in the buckets that hold more than one."""
+    labelled = members.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
+    mixed = labelled.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key")
+    return cut(labelled.join(mixed, "key", "left_semi"))
+
+
+def _fitting(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs whose sizes allow the similarity."""
+    high = sizes.select(F.col("id").alias("high"), F.col("n_shingles").alias("n"))
+    low = sizes.select(F.col("id").alias("low"), F.col("n_shingles").alias("m"))
+    return pairs.distinct().join(high, "high").join(low, "low").where(f"100 * least(n, m) >= {percent} * greatest(n, m)").select("high", "low")
+
+
+def _alive(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The nodes (`id`, `part`) that may yet link to another part, with their size and live size.
+
+    A shingle is live if two parts hold it; only live shingles can be common to a new link.
+    """
+    tokens = nodes.join(sets, "id").select("id", "part", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+    shared = tokens.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("token")
+    return tokens.join(shared, "token", "left_semi").groupBy("id", "part", "n").agg(F.count("*").alias("live")).where(f"100 * live >= {percent} * n")
+
+
 def near_duplicates(docs: DataFrame, shape: Tensoring = Tensoring()) -> DataFrame:
     """For each row of `docs` (`doc_id`, `text`): doc_id, n_shingles, component_id, kept.
 
     A row's set is its distinct five-word shingles (A-Z lower-cased; fewer words make one shingle; no
     words, or a null text, make none, and link with nothing).  Rows with equal sets form a class; of
-    classes only the least doc_id goes on.  Class members that share a table key are first held
-    against one member of the bucket, drawn by the key's hash, which links dense groups in linear
-    work.  Whatever then remains apart within a bucket is compared pair by pair, buckets of more
-    than `shape.direct` such members after a split by a second shared table.  All links are confirmed
-    on whole sets; components are closed over links.
+    classes only the least doc_id goes on.  Members of a bucket are first held against its least
+    member, then, where a bucket still holds several components, against one that the key's hash
+    draws, so a dense group is linked in linear work.  What remains apart is compared pair by pair
+    across components, once per pair, but only where the live shingles (those that two components
+    hold) could suffice; texts that differ from all others drop out there.  All links are
+    confirmed on whole sets; components are closed over links.
 
     kept is true for the least doc_id of a component.  Rows that repeat a doc_id count as copies if
     their sets are equal and are all kept with it; a null doc_id gives component null and is kept.
@@ -148,41 +175,45 @@ def near_duplicates(docs: DataFrame, shape: Tensoring = Tensoring()) -> DataFram
     """
     frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = cut(frame.mapInArrow(_signatures(shape), "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>"))
-    classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("class_id"))
-    classes = cut(classes)
+    classes = cut(signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("class_id")))
     chosen = signed.join(classes.withColumnRenamed("class_id", "doc_id"), ["n_shingles", "s1", "s2", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    bucketed = chosen.select(F.col("doc_id").alias("id"), "n_shingles", F.explode("keys").alias("key"))
-    # The hub is the member nearest to the key's hash by XOR: another one in each table, yet a plain minimum.
-    hubs = bucketed.groupBy("key").agg(F.min(F.col("id").bitwiseXOR(F.xxhash64("key"))).alias("hub"), F.count("*").alias("members")).where("members > 1")
-    members = cut(bucketed.join(hubs.select("key", F.col("hub").bitwiseXOR(F.xxhash64("key")).alias("hub")), "key"))
-
-    sizes = members.select(F.col("id").alias("hub"), F.col("n_shingles").alias("hub_size")).distinct()
-    fits = f"100 * least(n_shingles, hub_size) >= {shape.percent} * greatest(n_shingles, hub_size)"
-    star = members.where("id <> hub").select("id", "hub", "n_shingles").distinct().join(sizes, "hub").where(fits)
-    star = cut(star.select(F.greatest("id", "hub").alias("high"), F.least("id", "hub").alias("low")).distinct())
-    wanted = members.select(F.col("id").alias("doc_id")).distinct()
+    sizes = classes.select(F.col("class_id").alias("id"), "n_shingles").dropDuplicates(["id"])
+    bucketed = chosen.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
+    hubs = bucketed.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("members")).where("members > 1").select("key", "hub")
+    members = cut(bucketed.join(hubs, "key"))
+
+    wanted = cut(members.select(F.col("id").alias("doc_id")).distinct())
+    if wanted.count() <= HELD_IDS:
+        wanted = F.broadcast(wanted)
     sets = cut(frame.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(shape), "id long, shingles array<long>").dropDuplicates(["id"]))
-    links = cut(_confirmed(star, sets, shape.percent))
+    first = cut(_fitting(members.where("id > hub").select(F.col("id").alias("high"), F.col("hub").alias("low")), sizes, shape.percent))
+    links = cut(_confirmed(first, sets, shape.percent))
+    parts = connected_components(links)
+
+    # A hub near to the key's hash by XOR is another one in each table, and yet a plain minimum.
+    apart = _apart(members.select("key", "id"), parts)
+    mask = F.xxhash64("key")
+    drawn = apart.groupBy("key").agg(F.min(F.struct(F.col("id").bitwiseXOR(mask).alias("x"), "part")).alias("hub")).select("key", F.col("hub.x").bitwiseXOR(mask).alias("hub"), F.col("hub.part").alias("hub_part"))
+    second = apart.join(drawn, "key").where("part <> hub_part").select(F.greatest("id", "hub").alias("high"), F.least("id", "hub").alias("low"))
+    second = cut(_fitting(second, sizes, shape.percent).join(first, ["high", "low"], "left_anti"))
+    links = cut(links.unionByName(_confirmed(second, sets, shape.percent)))
     parts = connected_components(links)
 
-    labelled = members.select("key", "id", "n_shingles").join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
-    apart = labelled.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("members")).where("p <> q").select("key", "members")
-    rest = cut(labelled.join(apart, "key"))
-    large = rest.where(f"members > {shape.direct}")
-    others = rest.select("id", F.col("key").alias("other"))
-    split = large.join(others, "id").where("key < other").select(F.xxhash64("key", "other").alias("key"), "id", "n_shingles", "part")
-    open_ = rest.where(f"members <= {shape.direct}").select("key", "id", "n_shingles", "part").unionByName(split)
-    a = open_.select("key", F.col("id").alias("high"), F.col("n_shingles").alias("hub_size"), F.col("part").alias("part_a"))
-    b = open_.select("key", F.col("id").alias("low"), "n_shingles", F.col("part").alias("part_b"))
-    pairs = a.join(b, "key").where(f"high > low AND part_a <> part_b AND {fits}").select("high", "low").distinct().join(star, ["high", "low"], "left_anti")
-    late = cut(_confirmed(pairs, sets, shape.percent))
-    if late.isEmpty():
-        closed = parts
-    else:
-        closed = connected_components(links.unionByName(late))
-
-    # doc_id first for one shuffle by class; the hot class is split by Spark, its other side is one row.
-    full = signed.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["n_shingles", "s1", "s2"], "left").join(closed.withColumnRenamed("node", "class_id"), "class_id", "left")
+    apart = _apart(apart.select("key", "id"), parts)
+    alive = cut(_alive(apart.select("id", "part").distinct(), sets, shape.percent))
+    alive = cut(_alive(alive.select("id", "part"), sets, shape.percent))
+    ready = apart.select("key", "id").join(alive, "id").join(chosen.select(F.col("doc_id").alias("id"), "keys"), "id")
+    a = ready.select("key", *(F.col(c).alias(f"{c}_a") for c in ("id", "part", "n", "live", "keys")))
+    b = ready.select("key", *(F.col(c).alias(f"{c}_b") for c in ("id", "part", "n", "live", "keys")))
+    enough = f"100 * least(live_a, live_b) >= {shape.percent} * (n_a + n_b - least(live_a, live_b))"
+    once = "key = array_min(array_intersect(keys_a, keys_b))"
+    pairs = a.withColumnRenamed("key", "key_a").join(b, F.expr(f"key_a = key AND id_a > id_b AND part_a <> part_b AND {enough} AND {once}"))
+    third = pairs.select(F.col("id_a").alias("high"), F.col("id_b").alias("low")).join(first.unionByName(second), ["high", "low"], "left_anti")
+    late = cut(_confirmed(third, sets, shape.percent))
+    if not late.isEmpty():
+        parts = connected_components(links.unionByName(late))
+
+    full = signed.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["n_shingles", "s1", "s2"], "left").join(parts.withColumnRenamed("node", "class_id"), "class_id", "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "class_id", "doc_id"))
     out = full.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
