@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,7 +20,7 @@ SEQUENCE = 1024
 END_ID = 2
 #: Pieces that one task packs; a sequence never mixes shards, which costs about one sequence each.
 SHARD_PIECES = 200_000
-_CACHE_ENTRIES = 400_000
+_CACHE_ENTRIES = 800_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -41,6 +43,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         if path not in _tokenizers:
@@ -48,7 +51,22 @@ class Encoder:
             made.encode_special_tokens = True
             _tokenizers[path] = made
         self.tokenizer = _tokenizers[path]
-        self.known: dict[bytes, np.ndarray] = {}
+        #: Chunk to place << 24 | length in `flat`, the ids of all known chunks.
+        self.known: dict[bytes, int] = {}
+        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        if len(self.known) + len(chunks) > _CACHE_ENTRIES:
+            self.known.clear()
+            self.used = 0
+        for chunk, made in zip(chunks, self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False), strict=True):
+            ids = made.ids
+            end = self.used + len(ids)
+            if end > len(self.flat):
+                self.flat = np.resize(self.flat, max(end, 2 * len(self.flat)))
+            self.flat[self.used : end] = ids
+            self.known[chunk] = self.used << 24 | len(ids)
+            self.used = end
 
     def _cuts(self, block: B.Block) -> np.ndarray:
         data = block.data
@@ -72,24 +90,30 @@ class Encoder:
         _, first, which = np.unique(B.range_hashes(block.data, starts, ends), return_index=True, return_inverse=True)
         raw = block.data.tobytes()
         chunks = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        if len(self.known) > _CACHE_ENTRIES:
-            self.known.clear()
-        fresh = [c for c in chunks if c not in self.known]
+        codes = list(map(self.known.get, chunks))
+        fresh = [c for c, code in zip(chunks, codes, strict=True) if code is None]
         if fresh:
-            for c, e in zip(fresh, self.tokenizer.encode_batch_fast([c.decode() for c in fresh], add_special_tokens=False), strict=True):
-                self.known[c] = np.array(e.ids, np.uint32)
-        parts = [self.known[c] for c in chunks]
-        sizes = np.array([len(p) for p in parts], np.int64)
-        flat, begin = np.concatenate(parts), np.cumsum(sizes) - sizes
+            if len(self.known) + len(fresh) > _CACHE_ENTRIES:
+                fresh = chunks
+            self._learn(fresh)
+            codes = [self.known[c] for c in chunks]
+        places = np.array(codes, np.int64)
+        sizes, begin = places & 0xFFFFFF, places >> 24
         lengths = sizes[which]
         ends_at = np.cumsum(lengths)
-        ids = flat[np.repeat(begin[which] - (ends_at - lengths), lengths) + np.arange(ends_at[-1])]
+        ids = self.flat[np.repeat(begin[which] - (ends_at - lengths), lengths) + np.arange(ends_at[-1])]
         return ids, np.concatenate([[0], ends_at])[np.searchsorted(starts, block.offsets)]
 
 
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> Encoder:
+    """One for all tasks of a worker, so that chunks stay known from task to task."""
+    return Encoder(path)
+
+
 def _pieces(path: str | None, size: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path or default_tokenizer())
+        encoder = _encoder(path or default_tokenizer())
         tail = np.array([end_id], "<u4")
         for batch in batches:
             for block in B.text_blocks(batch.column("text"), 2 * B.BLOCK_BYTES):
