@@ -192,6 +192,8 @@ def near_duplicates(docs: DataFrame, shape: Tensoring = Tensoring()) -> DataFram
 
     # A hub near to the key's hash by XOR is another one in each table, and yet a plain minimum.
     apart = _apart(members.select("key", "id"), parts)
+    alive = cut(_alive(apart.select("id", "part").distinct(), sets, shape.percent))
+    apart = apart.join(alive.select("id"), "id", "left_semi")
     mask = F.xxhash64("key")
     drawn = apart.groupBy("key").agg(F.min(F.struct(F.col("id").bitwiseXOR(mask).alias("x"), "part")).alias("hub")).select("key", F.col("hub.x").bitwiseXOR(mask).alias("hub"), F.col("hub.part").alias("hub_part"))
     second = apart.join(drawn, "key").where("part <> hub_part").select(F.greatest("id", "hub").alias("high"), F.least("id", "hub").alias("low"))
@@ -201,7 +203,6 @@ def near_duplicates(docs: DataFrame, shape: Tensoring = Tensoring()) -> DataFram
 
     apart = _apart(apart.select("key", "id"), parts)
     alive = cut(_alive(apart.select("id", "part").distinct(), sets, shape.percent))
-    alive = cut(_alive(alive.select("id", "part"), sets, shape.percent))
     ready = apart.select("key", "id").join(alive, "id").join(chosen.select(F.col("doc_id").alias("id"), "keys"), "id")
     a = ready.select("key", *(F.col(c).alias(f"{c}_a") for c in ("id", "part", "n", "live", "keys")))
     b = ready.select("key", *(F.col(c).alias(f"{c}_b") for c in ("id", "part", "n", "live", "keys")))
