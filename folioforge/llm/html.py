@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import sha1
 from html import unescape
 from typing import NamedTuple
 
@@ -37,9 +38,10 @@ PLAIN_WORDS = frozenset(("with", "has", "no", "without"))
 OFF_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 #: A container is chosen if it holds this part of a page's text and none of its own containers does.
 SHARE = 0.75
+_LONG_PATH = 2000
 
 _tag = re.compile(
-    r"<!--.*?(?:-->|$)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>[^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)>|<[!?][^>]*>",
+    r"<!--.*?(?:-->|$)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>[^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*+)(?P<rest2>[^>]*)>|<[!?][^>]*>",
     re.DOTALL,
 )
 _attribute = re.compile(r"(?<![^\s\"'])(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/\"']|$)", re.IGNORECASE)
@@ -111,8 +113,12 @@ def read_page(html: str) -> tuple[list[Piece], dict[int, str]]:
         links -= sum(n.name == "a" for n in stack[k:])
         del stack[k:]
 
+    # No tag ends after the last `>`; what looks like one there is text, but for an open comment.
+    last = html.rfind(">") + 1
+    if (open_comment := html.find("<!--", last)) >= 0:
+        html = html[:open_comment]
     while at <= len(html):
-        m = _tag.search(html, at)
+        m = _tag.search(html, at, last) if at < last else None
         if not stack[-1].off:
             words = unescape(html[at : m.start() if m else len(html)])
             if words:
@@ -122,6 +128,8 @@ def read_page(html: str) -> tuple[list[Piece], dict[int, str]]:
         if not m:
             break
         at = m.end()
+        if m[0].startswith("<!--") and not m[0].endswith("-->"):
+            at = len(html)
         name = (m["name"] or m["name2"] or "").lower()
         if not name:
             continue
@@ -163,6 +171,8 @@ def read_page(html: str) -> tuple[list[Piece], dict[int, str]]:
         number += 1
         container = block and not off and name not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "dt", "dd", "tr", "thead", "tbody", "tfoot", "figcaption", "caption")
         path = f"{top.path}/{_step(name, attributes)}" if container else top.path
+        if len(path) > _LONG_PATH:  # deep nesting must not make every path as long as the page
+            path = sha1(path.encode(), usedforsecurity=False).hexdigest()
         if container:
             paths[number] = path
         stack.append(Node(name, path, off, number, top.inside or name == "article"))
