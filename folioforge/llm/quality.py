@@ -178,4 +178,30 @@ def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
     return judge_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("clean_text")
 
 
-SQL = None
+_W = r"'[^\x20\x09-\x0D]+'"
+_MARK_LIST = ", ".join(f"'{m}'" for m in NAVIGATION_MARKS)
+_PHRASES = "|".join(BOILERPLATE)
+SQL = rf"""
+WITH lines AS (
+  SELECT doc_id, line, regexp_extract_all(line, {_W}) AS w FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)),
+judged AS (
+  SELECT *, len(w) AS n, len(w) > 0 AND (
+      len(list_filter(w, lambda x: x IN ({_MARK_LIST}))) >= 3 AND 100 * len(list_filter(w, lambda x: x IN ({_MARK_LIST}))) >= 20 * len(w)
+      OR len(w) > 2 AND 100 * len(regexp_extract_all(line, '[#*$%&|<>]')) >= 30 * len(w)
+      OR len(w) > 2 AND 100 * len(list_filter(w, lambda x: ends_with(x, '!!'))) >= 30 * len(w)
+      OR len(w) >= 8 AND NOT regexp_matches(w[-1], '[.!?…:;。！？]["'')\]}}”’»*_]*$')
+      OR regexp_matches(lower(line), '{_PHRASES}')) AS bad
+  FROM lines),
+per_line AS (
+  SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_words, CAST(coalesce(sum(n) FILTER (WHERE NOT bad), 0) AS BIGINT) AS left_words, count(*) FILTER (WHERE bad) AS n_bad_lines,
+    count(*) FILTER (WHERE n > 0) - count(DISTINCT line) FILTER (WHERE n > 0) AS n_dup_lines, CAST(coalesce(sum(list_sum(list_transform(w, lambda x: length(x)))), 0) AS BIGINT) AS word_chars
+  FROM judged GROUP BY doc_id),
+grams AS (
+  SELECT doc_id, p, array_to_string(list_slice(w, p, p + 4), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_W}) AS w FROM documents) WHERE len(w) > 4)),
+twice AS (SELECT doc_id, count(DISTINCT q) AS n_repeat_words FROM (SELECT doc_id, unnest(range(p, p + 5)) AS q FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS k FROM grams) WHERE k > 1) GROUP BY doc_id),
+base AS (
+  SELECT doc_id, n_words, word_chars, CAST(len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS BIGINT) AS n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, n_bad_lines, left_words,
+    n_words < 10 OR 100 * coalesce(n_repeat_words, 0) > 20 * n_words AS base_failed
+  FROM documents JOIN per_line USING (doc_id) LEFT JOIN twice USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * left_words >= 50 * n_words AS kept, n_bad_lines FROM base
+"""

@@ -21,5 +21,13 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op1_url_filters": urls.SQL, "op4_warc": warc.SQL, "op6_chat_format": chat.SQL, "op2_decontaminate": decontaminate.SQL, "op5_quality_rules": quality.SQL, "op9_line_dedup": lines.SQL}
+    found = {
+        "op1_url_filters": urls.SQL,
+        "op2_decontaminate": decontaminate.SQL,
+        "op4_warc": warc.SQL,
+        "op5_quality_rules": quality.SQL,
+        "op6_chat_format": chat.SQL,
+        "op7_minhash_dedup": neardup.SQL,
+        "op9_line_dedup": lines.SQL,
+    }
     return {name: sql for name, sql in found.items() if sql}
