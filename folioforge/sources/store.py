@@ -38,7 +38,8 @@ class VectorTable:
         return table if collection is None else table.where(F.col("collection") == collection)
 
     def _replace(self, rows: DataFrame) -> None:
-        rows.write.partitionBy("collection").parquet(f"{self.path}/v{(self._versions() or [0])[-1] + 1}")
+        writer = rows.write if rows.isEmpty() else rows.write.partitionBy("collection")  # without rows, a plain file keeps the schema
+        writer.parquet(f"{self.path}/v{(self._versions() or [0])[-1] + 1}")
 
     def upsert(self, chunks: DataFrame, collection: str = "legal_ai_default") -> None:
         """Add `chunks` (`chunk_id`, `embedding`, ...) to a collection."""
