@@ -19,10 +19,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 _INJECT = {
-    "ocr": "substr(text, 1, 400) || CASE doc_id % 8 WHEN 0 THEN ' Sec. 13 and S.7, cl. 4 Art. 14 ' WHEN 1 THEN ' inter-\npretation | here ' WHEN 2 THEN ' fl “x” ‘y’\n\n\n\n\nz' WHEN 3 THEN 'x  \t y' ELSE '' END",
-    "speech": "substr(text, 1, 200) || CASE doc_id % 7 WHEN 0 THEN ' under section 1 38 of n i act' WHEN 1 THEN ' section one thirty-eight high court' WHEN 2 THEN ' section  12 of i p c and c r p c' WHEN 3 THEN ' es see, supreme court r e r a' ELSE '' END",
-    "meta": "substr(text, 1, 300) || CASE doc_id % 9 WHEN 0 THEN ' CONTRACT BETWEEN: Alpha Beta Ltd' WHEN 1 THEN ' notice dated 12/03/2021 at Mumbai' WHEN 2 THEN ' ORDER of the COURT, 5 march 2020' WHEN 3 THEN ' writ, April 7, 2019 in the high court' WHEN 4 THEN ' affidavit 31/02/2020, 1 May 2020' WHEN 5 THEN ' judgement versus Gamma Delta' ELSE '' END",
-    "review": "substr(text, 1, 500) || CASE doc_id % 5 WHEN 0 THEN ' [REVIEW]doubtful ' || CAST(doc_id AS STRING) || '[/REVIEW] then [REVIEW] more[/REVIEW]' WHEN 1 THEN ' [UNCERTAIN] yes  no' WHEN 2 THEN ' [REVIEW] [/REVIEW]' ELSE '' END",
+    "ocr": "text || CASE doc_id % 8 WHEN 0 THEN ' Sec. 13 and S.7, cl. 4 Art. 14 ' WHEN 1 THEN ' inter-\npretation | here ' WHEN 2 THEN ' fl “x” ‘y’\n\n\n\n\nz' WHEN 3 THEN 'x  \t y' ELSE '' END",
+    "speech": "text || CASE doc_id % 7 WHEN 0 THEN ' under section 1 38 of n i act' WHEN 1 THEN ' section one thirty-eight high court' WHEN 2 THEN ' section  12 of i p c and c r p c' WHEN 3 THEN ' es see, supreme court r e r a' ELSE '' END",
+    "meta": "text || CASE doc_id % 9 WHEN 0 THEN ' CONTRACT BETWEEN: Alpha Beta Ltd' WHEN 1 THEN ' notice dated 12/03/2021 at Mumbai' WHEN 2 THEN ' ORDER of the COURT, 5 march 2020' WHEN 3 THEN ' writ, April 7, 2019 in the high court' WHEN 4 THEN ' affidavit 31/02/2020, 1 May 2020' WHEN 5 THEN ' judgement versus Gamma Delta' ELSE '' END",
+    "review": "text || CASE doc_id % 5 WHEN 0 THEN ' [REVIEW]doubtful ' || CAST(doc_id AS STRING) || '[/REVIEW] then [REVIEW] more[/REVIEW]' WHEN 1 THEN ' [UNCERTAIN] yes  no' WHEN 2 THEN ' [REVIEW] [/REVIEW]' ELSE '' END",
 }
 
 
@@ -83,16 +83,22 @@ _OCR_SQL = [(r"(\w+)-\n(\w+)", r"\1\2"), (r"(?i)\bS\.\s*(\d)", r"Section \1"), (
 _TAIL = [(r"\n{3,}", "\n\n"), (r"[ \t]+", " ")]
 
 
-@query("ocr_normalise", "SELECT doc_id, " + _STRIP.format(_sql_rules("replace(replace(replace(replace(" + _sql_rules(
-    f"replace({_sql_rules(_INJECT['ocr'], _OCR_SQL)}, ' | ', '   ')", [(r"(^|[^\p{L}\p{N}_])fl($|[^\p{L}\p{N}_])", r"\1fi\2")]) + ", '‘', ''''), '’', ''''), '“', '\"'), '”', '\"')", _TAIL)) + " AS text FROM documents WHERE NOT contains(text, ' | ')")
+_PIPE = [(r"(^|\s)\|($|\s)", r"\1 \2")] * 2
+_ISOLATED = [(r"(^|[^\p{L}\p{N}_])fl($|[^\p{L}\p{N}_])", r"\1fi\2")] * 2
+
+
+def _quotes(expression: str) -> str:
+    return f"replace(replace(replace(replace({expression}, '‘', ''''), '’', ''''), '“', '\"'), '”', '\"')"
+
+
+@query("ocr_normalise", "SELECT doc_id, " + _STRIP.format(_sql_rules(_quotes(_sql_rules(_INJECT["ocr"], [*_OCR_SQL, *_PIPE, *_ISOLATED])), _TAIL)) + " AS text FROM documents")
 def _(spark, sf):
-    plain = _table(spark, sf, "documents").where("NOT contains(text, ' | ')").selectExpr("doc_id", f"{_INJECT['ocr']} AS text")
-    return plain.select("doc_id", text.normalise_ocr(F.col("text")).alias("text"))
+    return _injected(spark, sf, "ocr").select("doc_id", text.normalise_ocr(F.col("text")).alias("text"))
 
 
-@query("htr_clean", "SELECT doc_id, " + _STRIP.format(_sql_rules("substr(text, 1, 300) || '  ' || chr(7) || ' x'", [(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""), (r"[ \t]+", " "), (r"\n{3,}", "\n\n")])) + " AS text FROM documents")
+@query("htr_clean", "SELECT doc_id, " + _STRIP.format(_sql_rules("text || '  ' || chr(7) || ' x'", [(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""), (r"[ \t]+", " "), (r"\n{3,}", "\n\n")])) + " AS text FROM documents")
 def _(spark, sf):
-    return _table(spark, sf, "documents").selectExpr("doc_id", "substr(text, 1, 300) || '  ' || chr(7) || ' x' AS text").select("doc_id", text.clean_htr(F.col("text")).alias("text"))
+    return _table(spark, sf, "documents").selectExpr("doc_id", "text || '  ' || chr(7) || ' x' AS text").select("doc_id", text.clean_htr(F.col("text")).alias("text"))
 
 
 _SPEECH_SQL = [
@@ -109,7 +115,7 @@ def _(spark, sf):
 _FUSED = [(rf"({_WORD})\.({_WORD})", r"\1. \2"), (rf"({_WORD})\.({_WORD})", r"\1. \2"), (r"(?i)\b(Section|S\.?|Sec\.?)\s*(\d+)\b", r"Section \2")]
 
 
-@query("clean_text", "SELECT doc_id, " + _STRIP.format(_sql_rules("replace(replace(replace(replace(" + _sql_rules(_INJECT["ocr"], _FUSED) + ", '‘', ''''), '’', ''''), '“', '\"'), '”', '\"')", [(r"[ \t]+", " "), (r" +\n", "\n"), (r"\n{3,}", "\n\n")])) + " AS text FROM documents")
+@query("clean_text", "SELECT doc_id, " + _STRIP.format(_sql_rules(_quotes(_sql_rules(_INJECT["ocr"], _FUSED)), [(r"[ \t]+", " "), (r" +\n", "\n"), (r"\n{3,}", "\n\n")])) + " AS text FROM documents")
 def _(spark, sf):
     return fusion.nfkc(_injected(spark, sf, "ocr")).select("doc_id", text.clean_fused(F.col("text")).alias("text"))
 
@@ -157,9 +163,9 @@ def _intent_sql(t: str, questions: str, instructions: str) -> str:
     return f"CASE WHEN NOT regexp_matches({t}, '\\S') THEN 'unknown' WHEN contains({t}, '?') OR regexp_matches({t}, '{_whole(questions)}') THEN 'question' WHEN regexp_matches({t}, '{_whole(instructions)}') THEN 'instruction' ELSE 'narration' END"
 
 
-@query("intent", f"SELECT conv_id, turn, {_intent_sql('t', text.QUESTION_SPEECH, text.INSTRUCTION_SPEECH)} AS speech_intent, {_intent_sql('t', text.QUESTION_FUSED, text.INSTRUCTION_FUSED)} AS fused_intent FROM (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'Draft a note. ' WHEN 1 THEN 'Would it? ' WHEN 2 THEN 'attach ' ELSE '' END || substr(text, 1, 60) AS t FROM conversations)")
+@query("intent", f"SELECT conv_id, turn, {_intent_sql('t', text.QUESTION_SPEECH, text.INSTRUCTION_SPEECH)} AS speech_intent, {_intent_sql('t', text.QUESTION_FUSED, text.INSTRUCTION_FUSED)} AS fused_intent FROM (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'Draft a note. ' WHEN 1 THEN 'Would it? ' WHEN 2 THEN 'attach ' ELSE '' END || text AS t FROM conversations)")
 def _(spark, sf):
-    t = _table(spark, sf, "conversations").selectExpr("conv_id", "turn", "CASE turn % 4 WHEN 0 THEN 'Draft a note. ' WHEN 1 THEN 'Would it? ' WHEN 2 THEN 'attach ' ELSE '' END || substr(text, 1, 60) AS t")
+    t = _table(spark, sf, "conversations").selectExpr("conv_id", "turn", "CASE turn % 4 WHEN 0 THEN 'Draft a note. ' WHEN 1 THEN 'Would it? ' WHEN 2 THEN 'attach ' ELSE '' END || text AS t")
     return t.select("conv_id", "turn", text.speech_intent(F.col("t")).alias("speech_intent"), text.fused_intent(F.col("t")).alias("fused_intent"))
 
 
@@ -173,9 +179,9 @@ def _(spark, sf):
     return fusion.review_flags(_injected(spark, sf, "review").select(F.col("doc_id").alias("document_id"), F.lit("HTR").alias("source"), "text"))
 
 
-@query("html_escape", "SELECT page_id, replace(replace(replace(replace(replace(substr(html, 1, 500), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS safe FROM pages")
+@query("html_escape", "SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS safe FROM pages")
 def _(spark, sf):
-    return _table(spark, sf, "pages").select("page_id", text.escape_html(F.substring("html", 1, 500)).alias("safe"))
+    return _table(spark, sf, "pages").select("page_id", text.escape_html(F.col("html")).alias("safe"))
 
 
 @query("legal_preserve", f"SELECT doc_id, regexp_matches(t, '\\b(IPC|CrPC|CPC|NI Act|IT Act|RERA|NCLT|NCLAT|SC|HC|DC)\\b') OR regexp_matches(t, '(?i)(^|[^\\p{{L}}\\p{{N}}_])S(ec(tion)?)?\\.?\\s*\\d+') OR regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}_])[A-Z]{{2,}}($|[^\\p{{L}}\\p{{N}}_])') OR regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}_])\\d[\\d/.-]*($|[^\\p{{L}}\\p{{N}}_])') AS preserved FROM (SELECT doc_id, {_INJECT['speech']} AS t FROM documents)")
@@ -203,9 +209,9 @@ def _(spark, sf):
 
 
 @query("native_block_class", """SELECT doc_id, CASE WHEN y > 0.92 THEN 'footer' WHEN y < 0.05 AND length(t) < 50 THEN 'page_number' WHEN y < 0.20 AND length(t) < 200 AND t = upper(t) AND t <> lower(t) THEN 'heading'
-  WHEN y < 0.20 AND length(t) < 100 THEN 'heading' ELSE 'body' END AS type FROM (SELECT doc_id, doc_id % 100 / 100.0 AS y, CASE WHEN doc_id % 3 = 0 THEN upper(substr(text, 1, 150)) ELSE substr(text, 1, doc_id % 120 + 1) END AS t FROM documents)""")
+  WHEN y < 0.20 AND length(t) < 100 THEN 'heading' ELSE 'body' END AS type FROM (SELECT doc_id, doc_id % 100 / 100.0 AS y, text AS t FROM documents)""")
 def _(spark, sf):
-    t = _table(spark, sf, "documents").selectExpr("doc_id", "CAST(doc_id % 100 AS DOUBLE) AS y0", "CASE WHEN doc_id % 3 = 0 THEN upper(substr(text, 1, 150)) ELSE substr(text, 1, CAST(doc_id % 120 + 1 AS INT)) END AS t")
+    t = _table(spark, sf, "documents").selectExpr("doc_id", "CAST(doc_id % 100 AS DOUBLE) AS y0", "text AS t")
     return t.select("doc_id", scores.native_block_class(F.col("t"), F.col("y0"), F.lit(100.0)).alias("type"))
 
 
@@ -248,24 +254,24 @@ def _(spark, sf):
     return _table(spark, sf, "lineitem").groupBy("l_orderkey").agg(scores.token_confidence_agg(F.col("l_discount") * 10).alias("confidence"))
 
 
-@query("nms", f"""WITH RECURSIVE b AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY confidence DESC, l_linenumber) AS k FROM (SELECT {_BOX} FROM lineitem WHERE l_orderkey % 4 = 0)),
+@query("nms", f"""WITH RECURSIVE b AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY confidence DESC, l_linenumber, x0, y0, x1, y1) AS k FROM (SELECT {_BOX} FROM lineitem)),
 s(l_orderkey, k, kept) AS (SELECT l_orderkey, 1::BIGINT, [{{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'n': l_linenumber}}] FROM b WHERE k = 1
  UNION ALL SELECT s.l_orderkey, b.k, CASE WHEN len(list_filter(s.kept, lambda r: greatest(0, least(r.x1, b.x1) - greatest(r.x0, b.x0)) * greatest(0, least(r.y1, b.y1) - greatest(r.y0, b.y0))
    > 0.3 * ((r.x1 - r.x0) * (r.y1 - r.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - greatest(0, least(r.x1, b.x1) - greatest(r.x0, b.x0)) * greatest(0, least(r.y1, b.y1) - greatest(r.y0, b.y0))))) > 0
    THEN s.kept ELSE list_append(s.kept, {{'x0': b.x0, 'y0': b.y0, 'x1': b.x1, 'y1': b.y1, 'n': b.l_linenumber}}) END FROM s JOIN b ON b.l_orderkey = s.l_orderkey AND b.k = s.k + 1)
 SELECT l_orderkey, CAST(len(kept) AS BIGINT) AS n_kept, CAST(list_sum(list_transform(kept, lambda r: r.n)) AS BIGINT) AS lines FROM s QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY k DESC) = 1""")
 def _(spark, sf):
-    boxes = _boxes(spark, sf).where("l_orderkey % 4 = 0")  # every fourth order is a page of handwriting
+    boxes = _boxes(spark, sf)  # an order is a page
     one = F.struct("l_linenumber", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")), F.col("confidence").alias("score"))
     pages = boxes.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(one)).alias("r")).select("l_orderkey", htr.suppress_overlaps(F.col("r")).alias("kept"))
     return pages.select("l_orderkey", F.size("kept").cast("long").alias("n_kept"), F.aggregate("kept", F.lit(0).cast("long"), lambda a, k: a + k["l_linenumber"]).alias("lines"))
 
 
-@query("merge_blocks", """WITH b AS (SELECT conv_id, turn, role, regexp_replace(substr(text, 1, 40), '^\\s+|\\s+$', '', 'g') AS t FROM conversations)
+@query("merge_blocks", """WITH b AS (SELECT conv_id, turn, role, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM conversations)
 SELECT conv_id AS document_id, regexp_replace(coalesce(string_agg(CASE role WHEN 'system' THEN chr(10) || chr(10) || t || chr(10) ELSE t END, chr(10) ORDER BY turn) FILTER (WHERE t <> '' AND turn % 5 <> 4), ''), '^\\s+|\\s+$', '', 'g') AS full_text FROM b GROUP BY conv_id""")
 def _(spark, sf):
     kind = "CASE WHEN turn % 5 = 4 THEN 'footer' WHEN role = 'system' THEN 'heading' ELSE 'body' END AS type"
-    return ocr.merge_blocks(_table(spark, sf, "conversations").selectExpr("conv_id AS document_id", "1 AS page", "turn AS pos", kind, "substr(text, 1, 40) AS text"))
+    return ocr.merge_blocks(_table(spark, sf, "conversations").selectExpr("conv_id AS document_id", "1 AS page", "turn AS pos", kind, "text"))
 
 
 @query("fullpage_fallback", "SELECT o_orderkey, CAST(coalesce(x0, 0) AS DOUBLE) AS x0, CAST(coalesce(x1, 1000) AS DOUBLE) AS x1, coalesce(block_type, 'body') AS block_type FROM orders LEFT JOIN (SELECT l_orderkey, l_partkey % 90 AS x0, l_partkey % 90 + 50 AS x1, 'heading' AS block_type FROM lineitem WHERE l_linenumber = 2) ON o_orderkey = l_orderkey")
@@ -286,9 +292,9 @@ def _(spark, sf):
     return asr.assemble_transcript(asr.process_segments(segments)).withColumn("mean_confidence", F.floor("mean_confidence").cast("double"))
 
 
-@query("htr_assemble", "SELECT conv_id AS document_id, coalesce(string_agg(CASE WHEN turn * 17 % 100 < 70 THEN '[REVIEW]' || t || '[/REVIEW]' ELSE t END, chr(10) ORDER BY turn) FILTER (WHERE t <> ''), '') AS full_text, count(*) FILTER (WHERE turn * 17 % 100 < 70) AS low_confidence_regions, round(avg(turn * 17 % 100), 6) AS mean_confidence FROM (SELECT *, regexp_replace(substr(text, 1, 50), '^\\s+|\\s+$', '', 'g') AS t FROM conversations) GROUP BY conv_id")
+@query("htr_assemble", "SELECT conv_id AS document_id, coalesce(string_agg(CASE WHEN turn * 17 % 100 < 70 THEN '[REVIEW]' || t || '[/REVIEW]' ELSE t END, chr(10) ORDER BY turn) FILTER (WHERE t <> ''), '') AS full_text, count(*) FILTER (WHERE turn * 17 % 100 < 70) AS low_confidence_regions, round(avg(turn * 17 % 100), 6) AS mean_confidence FROM (SELECT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM conversations) GROUP BY conv_id")
 def _(spark, sf):
-    regions = _table(spark, sf, "conversations").selectExpr("conv_id AS document_id", "turn AS pos", "substr(text, 1, 50) AS text", "CAST(turn * 17 % 100 AS DOUBLE) AS confidence", "turn * 17 % 100 < 70 AS review_required")
+    regions = _table(spark, sf, "conversations").selectExpr("conv_id AS document_id", "turn AS pos", "text", "CAST(turn * 17 % 100 AS DOUBLE) AS confidence", "turn * 17 % 100 < 70 AS review_required")
     return htr.assemble_text(regions).withColumn("mean_confidence", F.round("mean_confidence", 6))
 
 
@@ -443,12 +449,12 @@ def _(spark, sf):
 
 
 def _prompts(spark: SparkSession, sf: str) -> DataFrame:
-    context = "'[CONTEXT]\\n\\n[1] source=OCR score=0.923\\n' || substr(text, 1, 60) || '\\n\\n[2] source=ASR score=0.871\\nsecond\\nline\\n\\n[/CONTEXT]' AS retrieval_context"
-    ask = "CASE item_id % 3 WHEN 0 THEN 'What does section 138 say of a cheque? ' WHEN 1 THEN ' Is it fraud under 420?' ELSE '' END || substr(text, 1, 30) AS query"
+    context = "'[CONTEXT]\\n\\n[1] source=OCR score=0.923\\n' || text || '\\n\\n[2] source=ASR score=0.871\\nsecond\\nline\\n\\n[/CONTEXT]' AS retrieval_context"
+    ask = "CASE item_id % 3 WHEN 0 THEN 'What does section 138 say of a cheque? ' WHEN 1 THEN ' Is it fraud under 420?' ELSE '' END || text AS query"
     return _table(spark, sf, "benchmark").selectExpr("item_id AS query_id", ask, "'' AS fused_document_text", context, "1024 AS max_tokens")
 
 
-_PROMPTS = "SELECT item_id AS query_id, CASE item_id % 3 WHEN 0 THEN 'What does section 138 say of a cheque? ' WHEN 1 THEN ' Is it fraud under 420?' ELSE '' END || substr(text, 1, 30) AS query, '[CONTEXT]' || chr(10) || chr(10) || '[1] source=OCR score=0.923' || chr(10) || substr(text, 1, 60) || chr(10) || chr(10) || '[2] source=ASR score=0.871' || chr(10) || 'second' || chr(10) || 'line' || chr(10) || chr(10) || '[/CONTEXT]' AS ctx, substr(text, 1, 60) AS body FROM benchmark"
+_PROMPTS = "SELECT item_id AS query_id, CASE item_id % 3 WHEN 0 THEN 'What does section 138 say of a cheque? ' WHEN 1 THEN ' Is it fraud under 420?' ELSE '' END || text AS query, '[CONTEXT]' || chr(10) || chr(10) || '[1] source=OCR score=0.923' || chr(10) || text || chr(10) || chr(10) || '[2] source=ASR score=0.871' || chr(10) || 'second' || chr(10) || 'line' || chr(10) || chr(10) || '[/CONTEXT]' AS ctx, text AS body FROM benchmark"
 
 
 @query("user_prompt", f"SELECT query_id, ctx || chr(10) || chr(10) || '[LEGAL QUERY]' || chr(10) || regexp_replace(query, '^\\s+|\\s+$', '', 'g') || chr(10) || '[/LEGAL QUERY]' || chr(10) || chr(10) || '{reasoning.INSTRUCTION}' AS prompt FROM ({_PROMPTS})")
