@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from folioforge.functions import scores, text
 from folioforge.operators import asr, fusion, htr, ocr, reasoning, retrieval
 from folioforge.plans import pipelines
+from folioforge.sources.files import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -27,7 +28,7 @@ _INJECT = {
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,18 +84,22 @@ def iou(a: Column, b: Column) -> Column:
 
 def hash_embedding(text: Column, dim: int = 128) -> Column:
     """Deterministic unit vector from the bytes of SHA-256, repeated to `dim`."""
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.conv(F.substring(F.sha2(text, 256), 2 * (i % 32) + 1, F.lit(2)), 16, 10).cast("double") / 255 - 0.5)
-    return unit(raw)
+    byte = lambda h, i: F.conv(F.substring(h, 2 * (i % 32) + 1, F.lit(2)), 16, 10).cast("double") / 255 - 0.5
+    return unit(_bound(F.sha2(text, 256), lambda h: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: byte(h, i))))
 
 
 def norm(vector: Column) -> Column:
     return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, not once for each element of a lambda inside."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def unit(vector: Column) -> Column:
     """Divided by its norm; a zero vector stays."""
-    bound = F.transform(F.array(vector), lambda v: F.transform(v, lambda x: x / F.when(norm(v) == 0, 1.0).otherwise(norm(v))))
-    return F.element_at(bound, 1)
+    return _bound(vector, lambda v: _bound(norm(v), lambda n: F.transform(v, lambda x: x / F.when(n == 0, 1.0).otherwise(n))))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -50,3 +50,14 @@ def read_records(spark: SparkSession, path: str, ddl: str) -> tuple[DataFrame, D
 
 def to_json_lines(frame: DataFrame) -> DataFrame:
     return frame.select(F.to_json(F.struct(*frame.columns)).alias("value"))
+
+
+#: Tables of up to this many files are dealt to all cores; larger ones have splits enough.
+FEW_FILES = 4
+
+
+def table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table.  One of a few files, which would keep a few cores busy, is dealt evenly to all of them."""
+    frame = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return frame.repartition(cores) if len(frame.inputFiles()) <= min(FEW_FILES, cores - 1) else frame
