@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from folioforge.llm.staging import cut
 from folioforge.llm.urls import host_of
+from folioforge.sources.files import table
 
 # Fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -239,4 +240,4 @@ def extract_text(pages: DataFrame, held_bytes: int = 32 << 20) -> DataFrame:
 
 
 def op8_html_extraction(spark, sf_dir: str) -> DataFrame:
-    return extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return extract_text(table(spark, f"{sf_dir}/pages.parquet"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm import blocks as B
+from folioforge.sources.files import table
 
 WINDOW = 3
 LONG_WORDS = 50
@@ -125,7 +126,7 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
-    return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return dedup_lines(table(spark, f"{sf_dir}/documents.parquet"))
 
 
 SQL = r"""

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from folioforge.llm import blocks as B
 from folioforge.llm.components import connected_components
 from folioforge.llm.staging import cut
+from folioforge.sources.files import table
 
 _U = np.uint64
 
@@ -227,7 +228,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def op7_minhash_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(table(spark, f"{sf_dir}/documents.parquet"))
 
 
 SQL = r"""

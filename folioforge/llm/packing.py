@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from folioforge.llm import blocks as B
 from folioforge.llm.staging import cut
+from folioforge.sources.files import table
 
 SEQUENCE = 1024
 END_ID = 2
@@ -226,4 +227,4 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, size: int = SE
 
 
 def op3_best_fit_packing(spark, sf_dir: str) -> DataFrame:
-    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack_documents(table(spark, f"{sf_dir}/documents.parquet"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.llm.boosting import Model, fit
+from folioforge.sources.files import table
 
 KINDS = ("email", "ip", "card", "phone", "secret", "id", "iban")
 #: Rows of the labelled sample that the trees are fitted on, a third of it held out.
@@ -213,4 +214,4 @@ def find_personal_data(docs: DataFrame, model: Model | None = None) -> DataFrame
 
 
 def op10_pii(spark, sf_dir: str) -> DataFrame:
-    return find_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return find_personal_data(table(spark, f"{sf_dir}/documents.parquet"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm import blocks as B
+from folioforge.sources.files import table
 
 # Fixed values.
 BOILERPLATE = (
@@ -175,7 +176,7 @@ def filter_documents(docs: DataFrame, rules: LineRules = LineRules()) -> DataFra
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
-    return judge_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("clean_text")
+    return judge_documents(table(spark, f"{sf_dir}/documents.parquet")).drop("clean_text")
 
 
 _W = r"'[^\x20\x09-\x0D]+'"

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.sources.files import table
+
 # Fixed values: (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -136,7 +138,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", range
 
 def op1_url_filters(spark, sf_dir: str) -> DataFrame:
     values = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
-    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.sql(f"SELECT * FROM VALUES {values} AS rules(verdict, host, path)"))
+    return judge_urls(table(spark, f"{sf_dir}/pages.parquet"), spark.sql(f"SELECT * FROM VALUES {values} AS rules(verdict, host, path)"))
 
 
 SQL = rf"""

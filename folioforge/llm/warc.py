@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.staging import cut, fresh_path
+from folioforge.sources.files import table
 
 _NAMESPACE = uuid.UUID("6f2b8b0e-4a8e-5f0e-9d3c-0c6d1f1b7a52")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -285,7 +286,7 @@ def read_warc(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFr
 
 def op4_warc(spark, sf_dir: str) -> DataFrame:
     folder = fresh_path(spark, "warc")
-    manifest = write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
+    manifest = write_warc(table(spark, f"{sf_dir}/pages.parquet"), folder)
     return read_warc(manifest, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "sound")
 
 
