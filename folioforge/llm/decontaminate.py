@@ -24,15 +24,11 @@ _DDL = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string
 
 
 class Index(NamedTuple):
-    """Items as word hashes, and their fingerprints in order with the places that they come from."""
+    """Item ids, the ordered fingerprints of items, and by window size: window hashes, where each one's items begin, items."""
 
     ids: list[str]
-    hashes: np.ndarray
-    bounds: np.ndarray
     prints: np.ndarray
-    firsts: np.ndarray
-    places: np.ndarray
-    short: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def winnow(words: B.Words, gram: int = GRAM, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
@@ -61,10 +57,15 @@ def _words(texts: pa.Array) -> Iterator[tuple[B.Block, B.Words]]:
         yield block, B.split_words(block, B.ALNUM, B.LOWER)
 
 
-def _grouped(values: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.argsort(values, kind="stable")
-    unique, firsts = np.unique(values[order], return_index=True)
-    return unique, np.append(firsts, len(values)), places[order]
+def _grouped(values: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in order, where each one's distinct items begin, and these."""
+    order = np.lexsort((items, values))
+    values, items = values[order], items[order]
+    fresh = np.ones(len(values), bool)
+    fresh[1:] = (values[1:] != values[:-1]) | (items[1:] != items[:-1])
+    values, items = values[fresh], items[fresh]
+    unique, firsts = np.unique(values, return_index=True)
+    return unique, np.append(firsts, len(values)), items
 
 
 def build_index(ids: list[str], texts: pa.Array, span: int = SPAN) -> Index:
@@ -73,14 +74,16 @@ def build_index(ids: list[str], texts: pa.Array, span: int = SPAN) -> Index:
     hashes = np.concatenate([p[0] for p in parts] or [np.zeros(0, np.uint64)])
     sizes = np.concatenate([p[1] for p in parts] or [np.zeros(0, np.int64)])
     bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    at, prints = winnow(B.Words(hashes, hashes, hashes, bounds), span=span)
-    short = {}
-    for size in range(1, span):
-        which = np.flatnonzero(sizes == size)
-        if len(which):
-            whole = np.array([B.grams(hashes[bounds[i] : bounds[i] + size], size)[0] for i in which], np.uint64)
-            short[size] = _grouped(whole, which)
-    return Index(ids, hashes, bounds, *_grouped(prints, at), short)
+    _, prints = winnow(B.Words(hashes, hashes, hashes, bounds), span=span)
+    windows = {}
+    for size in range(1, span + 1):
+        at = np.flatnonzero(B.whole_positions(bounds, size, len(hashes) - size + 1))
+        item = np.searchsorted(bounds, at, "right") - 1
+        if size < span:
+            at, item = at[sizes[item] == size], item[sizes[item] == size]
+        if len(at):
+            windows[size] = _grouped(B.grams(hashes, size)[at], item)
+    return Index(ids, np.unique(prints), windows)
 
 
 def _found(wanted: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,30 +101,16 @@ def mark(words: B.Words, index: Index, span: int = SPAN) -> tuple[np.ndarray, se
     cover = np.zeros(n + 1, np.int64)
     pairs: set[tuple[int, int]] = set()
     at, prints = winnow(words, span=span)
-    same, entry = _found(index.prints, prints)
-    done: dict[tuple[int, int], int] = {}
-    for p, e in zip(at[same].tolist(), entry.tolist(), strict=True):
-        row = int(np.searchsorted(words.bounds, p, "right")) - 1
-        low, high = int(words.bounds[row]), int(words.bounds[row + 1])
-        for place in index.places[index.firsts[e] : index.firsts[e + 1]].tolist():
-            if done.get((p - place, row), -1) > p:
-                continue
-            item = int(np.searchsorted(index.bounds, place, "right")) - 1
-            left = max(low - p, int(index.bounds[item]) - place)
-            right = min(high - p, int(index.bounds[item + 1]) - place)
-            equal = words.hashes[p + left : p + right] == index.hashes[place + left : place + right]
-            wrong = np.flatnonzero(~equal) + left
-            k = int(np.searchsorted(wrong, 0))
-            start = p + (int(wrong[k - 1]) + 1 if k else left)
-            end = p + (int(wrong[k]) if k < len(wrong) else right)
-            done[p - place, row] = end
-            if end - start >= span:
-                cover[start] += 1
-                cover[end] -= 1
-                pairs.add((row, item))
-    for size, (whole, firsts, items) in index.short.items():
-        ok = np.flatnonzero(B.whole_positions(words.bounds, size, n - size + 1))
-        same, entry = _found(whole, B.grams(words.hashes, size)[ok]) if len(ok) else (ok, ok)
+    near = at[_found(index.prints, prints)[0]]
+    # A shared window holds a selected k-gram at the same place in both texts: only windows around a match are looked up.
+    starts = np.unique(near[:, None] - np.arange(span - GRAM + 1))
+    for size, (whole, firsts, items) in index.windows.items():
+        fits = B.whole_positions(words.bounds, size, n - size + 1)
+        near = starts[(starts >= 0) & (starts < len(fits))]
+        ok = near[fits[near]] if size == span else np.flatnonzero(fits)
+        if not len(ok):
+            continue
+        same, entry = _found(whole, B.grams(words.hashes, size)[ok])
         at = ok[same]
         np.add.at(cover, at, 1)
         np.add.at(cover, at + size, -1)
