@@ -43,8 +43,7 @@ class LineRules:
 _boilerplate = re.compile("|".join(map(re.escape, BOILERPLATE)).encode())
 _symbols = re.compile(rb"[#*$%&|<>]")
 _marks = frozenset(m.encode() for m in NAVIGATION_MARKS)
-_terminals = tuple(t.encode() for t in TERMINALS)
-_closers = re.compile("(?:{})+$".format("|".join(map(re.escape, CLOSERS))).encode())
+_sentence_end = re.compile("(?:{})(?:{})*(?:[\\x20\\x09-\\x0D]|$)".format("|".join(map(re.escape, TERMINALS)), "|".join(map(re.escape, CLOSERS))).encode())
 _suspect = re.compile("|".join(map(re.escape, (*NAVIGATION_MARKS, *SYMBOLS, "!!"))).encode())
 _TEXT_SYMBOLS = np.zeros(256, bool)
 _TEXT_SYMBOLS[[ord(c) for c in SYMBOLS]] = True
@@ -67,7 +66,7 @@ def line_fault(line: bytes, words: list[bytes], rules: LineRules, phrases: bool
             return "punctuation"
         if n > 2 and 100 * sum(w.endswith(b"!!") for w in words) >= rules.bang_percent * n:
             return "punctuation"
-    if n >= rules.long_line_words and not words[-1].endswith(_terminals) and not _closers.sub(b"", words[-1]).endswith(_terminals):
+    if n >= rules.long_line_words and not _sentence_end.search(line):
         return "punctuation"
     if phrases and _boilerplate.search(line.lower()):
         return "boilerplate"
@@ -151,7 +150,7 @@ def judge_documents(docs: DataFrame, rules: LineRules = LineRules(), carry: tupl
     """Statistics, verdict and clean text for each row of `docs` (`doc_id`, `text`).
 
     Every line is tested by itself: navigation (a share of separator marks), punctuation
-    (symbol litter, shouted words, a long line without an end mark) and boilerplate
+    (symbol litter, shouted words, a long line in which no word ends a sentence) and boilerplate
     phrases.  Faulty lines go, and a document is rejected if less than
     `rules.min_kept_percent` of its words remain, or if it fails the base rules
     (few words, repeated five-word windows).
@@ -190,7 +189,7 @@ judged AS (
       len(list_filter(w, lambda x: x IN ({_MARK_LIST}))) >= 3 AND 100 * len(list_filter(w, lambda x: x IN ({_MARK_LIST}))) >= 20 * len(w)
       OR len(w) > 2 AND 100 * len(regexp_extract_all(line, '[#*$%&|<>]')) >= 30 * len(w)
       OR len(w) > 2 AND 100 * len(list_filter(w, lambda x: ends_with(x, '!!'))) >= 30 * len(w)
-      OR len(w) >= 8 AND NOT regexp_matches(w[-1], '[.!?…:;。！？]["'')\]}}”’»*_]*$')
+      OR len(w) >= 8 AND NOT regexp_matches(line, '[.!?…:;。！？]["'')\]}}”’»*_]*([\x20\x09-\x0D]|$)')
       OR regexp_matches(lower(line), '{_PHRASES}')) AS bad
   FROM lines),
 per_line AS (
