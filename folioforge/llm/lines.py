@@ -15,8 +15,8 @@ from folioforge.sources.files import table
 WINDOW = 3
 LONG_WORDS = 50
 
-_WINDOWS = "a long, b long, doc_id long, stamp long, pos int, span int"
-_WINDOWS_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("doc_id", pa.int64()), ("stamp", pa.int64()), ("pos", pa.int32()), ("span", pa.int32())])
+_WINDOWS = "a long, b long, doc_id long, stamp long, pos int, last int"
+_WINDOWS_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("doc_id", pa.int64()), ("stamp", pa.int64()), ("pos", pa.int32()), ("last", pa.int32())])
 
 
 def _line_bounds(block: B.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -35,32 +35,29 @@ def _windows(window: int, long_words: int):
             for block in B.text_blocks(batch.column("text")):
                 starts, ends, bounds = _line_bounds(block)
                 word_starts = B.split_words(block, B.SPACED).starts
-                before = np.searchsorted(word_starts, starts)
-                after = np.searchsorted(word_starts, ends)
-                row = np.repeat(np.arange(block.rows), np.diff(bounds))
-                parts = []
+                words = np.searchsorted(word_starts, ends) - np.searchsorted(word_starts, starts)
+                solid = np.flatnonzero(words)
+                words, row = words[solid], np.repeat(np.arange(block.rows), np.diff(bounds))[solid]
+                pos, heads = solid - bounds[row], np.searchsorted(row, np.arange(block.rows + 1))
+                hashes = [B.range_hashes(block.data, starts[solid], ends[solid], v) for v in (B.BYTE_VALUES, B.OTHER_VALUES)]
                 for span in range(1, window + 1):
-                    at = np.flatnonzero(B.whole_positions(bounds, span, len(starts) - span + 1))
-                    words = after[at + span - 1] - before[at]
-                    if span == window:
-                        at = at[words > 0]
-                    else:  # a shorter run stands by itself if it is long and no part of it is
-                        long = words >= long_words
+                    at = np.flatnonzero(B.whole_positions(heads, span, len(solid) - span + 1))
+                    if span < window:  # a shorter run stands by itself if it is long and no part of it is
+                        long = sum(words[at + k] for k in range(span)) >= long_words
                         if span > 1:
                             for k in range(span):
-                                long &= after[at + k] - before[at + k] < long_words
+                                long &= words[at + k] < long_words
                         at = at[long]
-                    parts.append((at, np.full(len(at), span, np.int32)))
-                at, spans = (np.concatenate(x) for x in zip(*parts, strict=True))
-                low, high = starts[at], ends[at + spans - 1]
-                pick = pa.array(row[at] + block.first)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(B.range_hashes(block.data, low, high).view(np.int64)), pa.array(B.range_hashes(block.data, low, high, B.OTHER_VALUES).view(np.int64)),
-                        ids.take(pick), stamps.take(pick), pa.array((at - bounds[row[at]]).astype(np.int32)), pa.array(spans),
-                    ],
-                    schema=_WINDOWS_ARROW,
-                )
+                    if not len(at):
+                        continue
+                    pick = pa.array(row[at] + block.first)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            *(pa.array(B.grams(h, span)[at].view(np.int64)) for h in hashes), ids.take(pick), stamps.take(pick),
+                            pa.array(pos[at].astype(np.int32)), pa.array(pos[at + span - 1].astype(np.int32)),
+                        ],
+                        schema=_WINDOWS_ARROW,
+                    )
 
     return run
 
@@ -75,9 +72,9 @@ def _remove(extra: list[str]):
                 if spans:
                     gone = np.zeros(len(lines) + 1, np.int64)
                     for code in spans:
-                        pos, span = divmod(code, 16)
+                        pos, last = divmod(code, 1 << 32)
                         gone[pos] += 1
-                        gone[pos + span] -= 1
+                        gone[last + 1] -= 1
                     gone = np.cumsum(gone[:-1]) > 0
                     removed.append(int(gone.sum()))
                     text = "\n".join(x for x, g in zip(lines, gone, strict=True) if not g)
@@ -95,8 +92,9 @@ def _remove(extra: list[str]):
 def dedup_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove later occurrences of repeated line windows from `docs` (`doc_id`, `text`).
 
-    A window is `window` consecutive lines with a word in them; a shorter run also counts as one if
-    it holds `long_words` words, so that a long passage on one line is found among any neighbours.
+    A window is `window` consecutive lines, blank ones between them left aside: were they counted, one
+    short line between two blank ones would be a window.  A shorter run also counts as one if it holds
+    `long_words` words, so that a long passage on one line is found among any neighbours.
     Windows are compared exactly, by 128-bit hashes.  Of equal windows the first stays, in the order
     of doc_id (null first), text stamp and line; the lines that any other occurrence covers go.
 
@@ -111,7 +109,7 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WO
     order = F.struct("doc_id", "stamp", "pos")
     repeated = found.groupBy("a", "b").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first <> last").select("a", "b", "first")
     later = found.join(repeated, ["a", "b"]).where(F.struct("doc_id", "stamp", "pos") != F.col("first"))
-    spans = later.groupBy("doc_id", "stamp").agg(F.collect_set(F.col("pos").cast("long") * 16 + F.col("span")).alias("spans"))
+    spans = later.groupBy("doc_id", "stamp").agg(F.collect_set(F.shiftleft(F.col("pos").cast("long"), 32) + F.col("last")).alias("spans"))
     spans = spans.withColumnsRenamed({"doc_id": "_id", "stamp": "_stamp"})
     joined = frame.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("stamp") == F.col("_stamp")), "left")
     kinds = "".join(f", `{e}` {frame.schema[e].dataType.simpleString()}" for e in extra)
@@ -134,14 +132,14 @@ WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM documents),
 counted AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM lines),
 runs AS (
-  SELECT doc_id, pos, line, n, lead(line) OVER d AS line2, lead(n) OVER d AS n2, lead(line, 2) OVER d AS line3, lead(n, 2) OVER d AS n3
-  FROM counted WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+  SELECT doc_id, pos, line, n, lead(line) OVER d AS line2, lead(n) OVER d AS n2, lead(pos) OVER d AS pos2, lead(line, 2) OVER d AS line3, lead(pos, 2) OVER d AS pos3
+  FROM counted WHERE n > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
 windows AS (
-  SELECT doc_id, pos, 3 AS span, line || chr(10) || line2 || chr(10) || line3 AS body FROM runs WHERE line3 IS NOT NULL AND n + n2 + n3 > 0
-  UNION ALL SELECT doc_id, pos, 2, line || chr(10) || line2 FROM runs WHERE line2 IS NOT NULL AND n + n2 >= 50 AND n < 50 AND n2 < 50
-  UNION ALL SELECT doc_id, pos, 1, line FROM runs WHERE n >= 50),
-later AS (SELECT doc_id, pos, span FROM (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, pos) AS k FROM windows) WHERE k > 1),
-gone AS (SELECT DISTINCT doc_id, pos + k AS pos FROM later, (SELECT unnest([0, 1, 2]) AS k) WHERE k < span)
+  SELECT doc_id, pos, pos3 AS last, line || chr(10) || line2 || chr(10) || line3 AS body FROM runs WHERE line3 IS NOT NULL
+  UNION ALL SELECT doc_id, pos, pos2, line || chr(10) || line2 FROM runs WHERE line2 IS NOT NULL AND n + n2 >= 50 AND n < 50 AND n2 < 50
+  UNION ALL SELECT doc_id, pos, pos, line FROM runs WHERE n >= 50),
+later AS (SELECT doc_id, pos, last FROM (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, pos) AS k FROM windows) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, last + 1)) AS pos FROM later)
 SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed, coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL), '') AS text
 FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id
 """

@@ -76,9 +76,9 @@ def test_quality_statistics(spark):
 
 def test_quality_line_rules(spark):
     good = prose(3)
-    texts = [good, good + "\nhome | news | about | contact | help", "a*** b$$$ c%%% d### " * 8, f"{good}\nAll rights reserved."]
+    texts = [good, good + "\nhome | news | about | contact | help", "a*** b$$$ c%%% d### " * 8, f"{good}\nAll rights reserved.", f"{good} dangling words", good[:-1], f"({good}) “x”"]
     got = {r["doc_id"]: r for r in quality.judge_documents(frame(spark, texts, 10)).collect()}
-    assert [got[10 + i]["kept"] for i in range(4)] == [True, True, False, True]
+    assert [got[10 + i]["kept"] for i in range(7)] == [True, True, False, True, True, False, True]
     assert got[11]["clean_text"] == good and got[13]["clean_text"] == good
 
 
@@ -92,6 +92,14 @@ def test_lines_keep_first_occurrence(spark):
     assert got[15] == (7, "")  # its line d stands between covered windows: d, a, b repeats document 11
 
 
+def test_blank_lines_make_no_windows(spark):
+    a, b, c = "first line", "second line", "third line"
+    texts = [f"\n\n{a}\n\n", f"x\n\n{a}\n\ny", f"{a}\n \n{b}\n\n{c}\n\nend", f"top\n\n{a}\n{b}\n\n\n{c}\n\nend"]
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["text"]) for r in lines.dedup_lines(frame(spark, texts, 10)).collect()}
+    assert got[10] == (5, 0, texts[0]) and got[11] == (5, 0, texts[1]) and got[12] == (7, 0, texts[2])
+    assert got[13] == (9, 7, "top\n")  # a, b, c and b, c, end, with the blank lines between
+
+
 def shingles(text):
     w = re.findall("[^\x20\x09-\x0d]+", (text or "").translate(LOWER))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
