@@ -22,6 +22,8 @@ END_ID = 2
 #: Pieces that one task packs; a sequence never mixes shards, which costs about one sequence each.
 SHARD_PIECES = 200_000
 _CACHE_ENTRIES = 800_000
+#: Chunks encoded at once; the tokenizer's own records of them are far larger than their ids.
+_BATCH_CHUNKS = 4096
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -60,14 +62,16 @@ class Encoder:
         if len(self.known) + len(chunks) > _CACHE_ENTRIES:
             self.known.clear()
             self.used = 0
-        for chunk, made in zip(chunks, self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False), strict=True):
-            ids = made.ids
-            end = self.used + len(ids)
-            if end > len(self.flat):
-                self.flat = np.resize(self.flat, max(end, 2 * len(self.flat)))
-            self.flat[self.used : end] = ids
-            self.known[chunk] = self.used << 24 | len(ids)
-            self.used = end
+        for low in range(0, len(chunks), _BATCH_CHUNKS):
+            some = chunks[low : low + _BATCH_CHUNKS]
+            for chunk, made in zip(some, self.tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False), strict=True):
+                ids = made.ids
+                end = self.used + len(ids)
+                if end > len(self.flat):
+                    self.flat = np.resize(self.flat, max(end, 2 * len(self.flat)))
+                self.flat[self.used : end] = ids
+                self.known[chunk] = self.used << 24 | len(ids)
+                self.used = end
 
     def _cuts(self, block: B.Block) -> np.ndarray:
         data = block.data
@@ -117,7 +121,7 @@ def _pieces(path: str | None, size: int, end_id: int):
         encoder = _encoder(path or default_tokenizer())
         tail = np.array([end_id], "<u4")
         for batch in batches:
-            for block in B.text_blocks(batch.column("text"), 2 * B.BLOCK_BYTES):
+            for block in B.text_blocks(batch.column("text")):
                 ids, bounds = encoder.encode(block)
                 rows, piece, start, length, crc = [], [], [], [], []
                 for row in range(block.rows):
