@@ -142,6 +142,21 @@ def test_near_duplicates_match_brute_force(spark):
         assert got[50 + i] == (n, 50 + component, i == component)
 
 
+def test_stage_drops_pairs_from_080(spark):
+    texts, near = [], []
+    for seed in range(12):
+        base = [f"w{seed}x{k}" for k in range(204)]  # 200 shingles; each changed word far from others costs five
+        for changed in (4, 5):
+            own = [f"z{seed}" if k % 40 == 20 and k // 40 < changed else w for k, w in enumerate(base)]
+            a, b = shingles(" ".join(base)), shingles(" ".join(own))
+            near.append(len(a & b) / len(a | b))
+            texts += [" ".join(f"{changed}{w}" for w in base), " ".join(f"{changed}{w}" for w in own)]
+    assert all(0.77 < s < 0.85 for s in near) and sum(s >= 0.80 for s in near) == 12
+    got = {r["doc_id"] for r in neardup.drop_near_duplicates(frame(spark, texts, 50)).collect()}
+    assert got == {50 + i for i in range(len(texts)) if i % 2 == 0 or near[i // 2] < 0.80}
+    assert sum(r["kept"] for r in neardup.near_duplicates(frame(spark, texts, 50)).collect()) == len(texts)
+
+
 def test_components_by_stars_and_by_task(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(101, 100), (103, 101), (103, 102)], "high long, low long")
     want = {i: 0 for i in range(41)} | {i: 100 for i in range(100, 104)}
