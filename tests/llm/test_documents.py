@@ -254,6 +254,25 @@ def test_personal_data_added_spans(spark):
     assert got == {10: "email:8:36", 11: "secret:3:53", 12: "", 13: ""}
 
 
+def test_numbers_before_a_full_stop(spark):
+    numbers = ["call 555-123-4567", "call (555) 123-4567", "amex 3782 822463 10005"]
+    ends = ["", ".", ". Then more", ".\n", "...", "-", " - so", ".)", ", so"]
+    texts = [f"xx {n}{e}" for n in numbers for e in ends]
+    barred = [f"xx call 555-123-4567{e}" for e in (".8", "-89", ".com", "-x", "8", "x")]
+    got = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(frame(spark, texts + barred, 10)).collect()}
+    for i, text in enumerate(texts):
+        n = numbers[i // len(ends)]
+        kind, start = ("card" if n.startswith("amex") else "phone"), 3 + n.index(" ") + 1
+        assert got[10 + i] == f"{kind}:{start}:{3 + len(n)}", text
+    assert {got[10 + len(texts) + i] for i in range(len(barred))} == {""}
+
+
+def test_sample_ends_sentences():
+    sample = pii.labelled_sample(400)
+    for label in (0, 1):
+        assert 90 <= sum(x["text"].endswith(".") for x in sample if x["label"] == label) <= 110
+
+
 def test_boosting_held_out(spark):
     x, y = pii.sample_features(spark, 1200)
     model = boosting.fit(x, y)
