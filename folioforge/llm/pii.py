@@ -34,7 +34,7 @@ PROPOSERS = (
     ("email", r"(?i) at ", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{2,64}+ at [a-z0-9-]{2,63}+(?:(?:\.| dot )[a-z0-9-]{2,63}+){1,4}"),
     ("phone", r"[0-9][ .)-]", r"(?<![0-9A-Za-z.@+-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z]|[.-][0-9A-Za-z])"),
     ("card", r"[0-9]{4}", r"(?<![0-9A-Za-z.+-])[0-9]{4}[ -]?[0-9]{4,6}[ -]?[0-9]{4,5}(?:[ -]?[0-9]{1,4})?(?![0-9A-Za-z]|[.-][0-9A-Za-z])"),
-    ("secret", r"[=:]", r"(?i)(?<![a-z0-9])(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|key|id|value)[\"']?\s{0,3}[=:]\s{0,3}[\"']?[a-z0-9_/+.-]{8,128}+[\"']?"),
+    ("secret", r"[=:]", r"(?i)(?<![a-z0-9])(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|key|id|value)[\"']?\s{0,3}[=:]\s{0,3}[\"']?[a-z0-9_/+.-]{8,}+[\"']?"),
     ("id", r"[0-9]-[0-9]", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
     ("iban", r"[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
 )

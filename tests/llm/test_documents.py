@@ -267,6 +267,13 @@ def test_numbers_before_a_full_stop(spark):
     assert {got[10 + len(texts) + i] for i in range(len(barred))} == {""}
 
 
+def test_long_secrets_are_whole(spark):
+    value = "".join(np.random.default_rng(3).choice(list("abcdefghijkmnoprstuvwxyzABCDEFGHJKL_-.0123456789"), 500))
+    texts = [f"xx token={value[:n]} yy" for n in (128, 129, 200, 500)] + [f'xx token = "{value}" yy']
+    got = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(frame(spark, texts, 10)).collect()}
+    assert got == {10 + i: f"secret:3:{len(t) - 3}" for i, t in enumerate(texts)}
+
+
 def test_sample_ends_sentences():
     sample = pii.labelled_sample(400)
     for label in (0, 1):
