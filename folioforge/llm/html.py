@@ -28,6 +28,8 @@ CLOSES = {
     "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th"),
 }
 SCOPES = frozenset("table ul ol dl td th article section div main body html".split())
+#: Containers that are part of a text's flow, where others divide a page.
+FLOW = frozenset("ul ol dl table td th blockquote figure details summary address center dir hgroup".split())
 OFF_WORDS = frozenset(
     "ad ads adsense advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription "
     "sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead toolbar pagination pager share sharing social related recommended recommendations comment comments disqus "
@@ -193,15 +195,56 @@ def own_path(pieces: list[Piece], paths: dict[int, str]) -> tuple[str, int]:
     return (paths[max(wide)], total) if wide and total else ("", 0)
 
 
+def _widened(pieces: list[Piece], paths: dict[int, str], wanted: set[int]) -> set[int]:
+    """The pieces, by their place, of the articles that the wanted containers stand in.
+
+    A container widens to the nearest article around it, or else main.  Each ancestor from there on, or
+    from the container where there is neither, is taken whole if all that it adds is mostly unlinked;
+    of others, and of the body, only the unlinked blocks that stand in no inner division are taken.
+    """
+    name = lambda n: paths[n].rpartition("/")[2].partition(".")[0]
+    under: dict[int, list[int]] = {}
+    lines: dict[int, tuple[int, ...]] = {}
+    for i, piece in enumerate(pieces):
+        for depth, number in enumerate(piece.containers):
+            under.setdefault(number, []).append(i)
+            if number in wanted and number not in lines:
+                lines[number] = piece.containers[: depth + 1]
+    parents: dict[int, int] = {}
+    taken: set[int] = set()
+    tops: set[int] = set()
+    for line in lines.values():
+        names = [name(n) for n in line]
+        kind = next((k for k in ("article", "main") if k in names), None)
+        depth = len(names) - 1 - (names[::-1].index(kind) if kind else 0)
+        parents.update(zip(line[1 : depth + 1], line[:depth], strict=True))
+        if line[depth] not in tops:
+            tops.add(line[depth])
+            taken.update(under[line[depth]])
+    ahead = sorted({n for top in tops for n in _ancestors(top, parents)}, reverse=True)  # inner ones first
+    for number in ahead:
+        more = [i for i in under[number] if i not in taken]
+        plain = [i for i in more if 2 * pieces[i].plain >= len(pieces[i].text)]
+        if len(plain) < len(more) or name(number) in ("", "html", "body"):
+            plain = [i for i in plain if all(name(n) in FLOW for n in pieces[i].containers[pieces[i].containers.index(number) + 1 :])]
+        taken.update(plain)
+    return taken
+
+
+def _ancestors(number: int, parents: dict[int, int]) -> Iterator[int]:
+    while number in parents:
+        number = parents[number]
+        yield number
+
+
 def text_at(pieces: list[Piece], paths: dict[int, str], path: str | None) -> str:
-    """Blocks under the containers of a path; where the page has none of it, under its own best one."""
+    """Blocks of the article around the containers of a path; where the page has none of it, around its own best one."""
     wanted = {n for n, p in paths.items() if p == path} if path is not None else set()
-    found = [p.text for p in pieces if not wanted.isdisjoint(p.containers)]
-    if not found:
+    if all(wanted.isdisjoint(p.containers) for p in pieces):
         own = own_path(pieces, paths)[0]
         wanted = {n for n, p in paths.items() if p == own}
-        found = [p.text for p in pieces if not wanted.isdisjoint(p.containers)]
-    return "\n\n".join(found)
+    whole = _widened(pieces, paths, wanted)
+    return "\n\n".join(p.text for i, p in enumerate(pieces) if i in whole)
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +265,9 @@ def extract_text(pages: DataFrame, held_bytes: int = 32 << 20) -> DataFrame:
     First each page's containers are scored by the unlinked text in them, and the page votes for the
     path (tags and first classes, digits generalised) of the innermost one that holds most of it.
     Votes are summed per host.  Then every page is extracted anew under its host's winning path (most
-    votes, then most text, then the least path), or its own where it lacks that.
+    votes, then most text, then the least path), or its own where it lacks that.  The innermost
+    container may hold less than the article, so what stands beside it in the article is taken too (see
+    `_widened`).
 
     A null html is empty and gives an empty text, as does a page without text; a null url counts as a
     host of its own name, empty; repeated rows are extracted each; an empty table gives no rows; other

@@ -102,3 +102,25 @@ def test_html_consensus_rescues_a_thin_page(spark):
     rows.append((9, "http://h/9", full.replace("{a}", "short").replace("{b}", "a very long advertisement for something " * 9)))
     got = {r["page_id"]: r["text"] for r in html.extract_text(pages(spark, rows)).collect()}
     assert got[9] == "short"
+
+
+def test_html_keeps_what_stands_beside_the_body(spark):
+    body, menu = "".join(f"<p>long article text {k}</p>" for k in range(40)), "<ul><li><a href=x>One</a><li><a href=y>Two</a></ul>"
+    core = "\n\n".join(f"long article text {k}" for k in range(40))
+    inner = f"<h1>Head</h1><p>Lead<div class=body>{body}</div><p>End<ul><li>last</ul>"
+    want = f"Head\n\nLead\n\n{core}\n\nEnd\n\nlast"
+    cases = [
+        (f"<body><div class=side-a>{menu}</div><article>{inner}</article><p><a href=z>More</a></body>", want),
+        (f"<body>{menu}<article>{inner}<p><a href=z>Source</a></article></body>", f"{want}\n\nSource"),
+        (f"<body><main><h1>Over</h1><article>{inner}</article>{menu}</main></body>", f"Over\n\n{want}"),
+        (f"<body>{menu}<div class=outer><div class=post>{inner}</div></div><div class=blurb><p>blurb</p></div></body>", want),
+        (f"<body><div class=post>{inner}{menu}</div></body>", want),
+        (f"<body>{inner}</body>", want),
+        (f"<body><article><h2>Head</h2><p>Lead</p><blockquote>{body}</blockquote><p>End</article><div class=comments>no</div></body>", f"Head\n\nLead\n\n{core}\n\nEnd"),
+        (f"<body><article><h2>Head</h2><section><p>Lead</section><section>{body}</section><nav>no</nav><section>End</section></article></body>", f"Head\n\nLead\n\n{core}\n\nEnd"),
+    ]
+    rows = [(100 * i + k, f"http://t{i}/{k}", page) for i, (page, _) in enumerate(cases) for k in range(2)]
+    got = {r["page_id"]: r["text"] for r in html.extract_text(pages(spark, rows)).collect()}
+    assert [got[100 * i + k] for i in range(len(cases)) for k in range(2)] == [text for _, text in cases for _ in range(2)]
+    many = "<body>" + "".join(f"<div class=b><p>text {k}</p></div>" for k in range(20_000)) + "</body>"
+    assert len(html.text_at(*html.read_page(many), "/body/div.b")) > 200_000
