@@ -135,23 +135,33 @@ def _report(ids: pa.Array, words: B.Words, index: Index) -> pa.RecordBatch:
     )
 
 
-def _by_held_index(held):
+def _beside(report: pa.RecordBatch, rows: pa.RecordBatch, extra: list[str]) -> pa.RecordBatch:
+    """The report with columns of the rows that it judges."""
+    return pa.RecordBatch.from_arrays([*report.columns, *(rows.column(c) for c in extra)], [*_OUT.names, *extra])
+
+
+def _by_held_index(held, extra: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(*held.value)
         for batch in batches:
             for block, words in _words(batch.column("text")):
-                yield _report(batch.column("doc_id").slice(block.first, block.rows), words, index)
+                rows = batch.slice(block.first, block.rows)
+                yield _beside(_report(rows.column("doc_id"), words, index), rows, extra)
 
     return run
 
 
-def _by_own_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in range(batch.num_rows):
-            own = batch.column("items")[row].as_py() or []
-            index = build_index([x["item"] for x in own], pa.array([x["item_text"] for x in own], pa.string()))
-            for _, words in _words(batch.column("text").slice(row, 1)):
-                yield _report(batch.column("doc_id").slice(row, 1), words, index)
+def _by_own_items(extra: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                own = batch.column("items")[row].as_py() or []
+                index = build_index([x["item"] for x in own], pa.array([x["item_text"] for x in own], pa.string()))
+                one = batch.slice(row, 1)
+                for _, words in _words(one.column("text")):
+                    yield _beside(_report(one.column("doc_id"), words, index), one, extra)
+
+    return run
 
 
 def _prints(lengths: tuple[int, ...], key: str, kind: str, whole: bool):
@@ -177,13 +187,13 @@ def _prints(lengths: tuple[int, ...], key: str, kind: str, whole: bool):
     return run
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, held_bytes: int = HELD_BYTES) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, held_bytes: int = HELD_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
     """Words of each of `docs` (`doc_id`, `text`) that stand in a window of `benchmark` (`item_id`, `text`).
 
     Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z lower-cased.  A window is
     13 consecutive words of an item, or all words of a shorter one.  Result per row: doc_id, n_words,
     n_hit (words inside any occurrence of a window), n_items, items_sha256 and contaminated (at
-    least a twentieth of the words, and one, are hit).
+    least a twentieth of the words, and one, are hit), and the row's own columns in `carry`.
 
     A null text has no words; items with null text or without words have no window, a null item_id is
     listed as an empty string; repeated rows are judged alike; an empty table gives no rows and an
@@ -191,12 +201,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, held_bytes: int =
     workers: fingerprints are then joined, and each document meets only the items that share one.
     """
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").where("text IS NOT NULL")
-    frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    extra = [f"_carry_{c}" for c in carry]
+    frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(c).alias(e) for c, e in zip(carry, extra, strict=True)))
+    ddl = _DDL + "".join(f", `{e}` {frame.schema[e].dataType.simpleString()}" for e in extra)
+    named = dict(zip(extra, carry, strict=True))
     if (items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0) <= held_bytes:
         table = items.toArrow()
         index = build_index(table.column("item").to_pylist(), table.column("text").combine_chunks())
         held = docs.sparkSession.sparkContext.broadcast(tuple(index))
-        return frame.mapInArrow(_by_held_index(held), _DDL)
+        return frame.mapInArrow(_by_held_index(held, extra), ddl).withColumnsRenamed(named)
     count = F.size(F.regexp_extract_all(F.lower("text"), F.lit("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), F.lit(0)))
     lengths = tuple(r[0] for r in items.select(count.alias("n")).where(f"n BETWEEN 1 AND {SPAN - 1}").distinct().collect())
     stamped = frame.withColumn("stamp", F.xxhash64("doc_id", "text"))
@@ -205,13 +218,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, held_bytes: int =
     theirs = stamped.select("stamp", "text").mapInArrow(_prints(lengths, "stamp", "stamp", False), "stamp long, print long")
     met = theirs.join(ours, "print").select("stamp", "item_stamp").distinct()
     own = met.join(numbered.withColumnRenamed("text", "item_text"), "item_stamp").groupBy("stamp").agg(F.collect_list(F.struct("item", "item_text")).alias("items"))
-    return stamped.join(own, "stamp", "left").select("doc_id", "text", "items").mapInArrow(_by_own_items, _DDL)
+    return stamped.join(own, "stamp", "left").select("doc_id", "text", "items", *extra).mapInArrow(_by_own_items(extra), ddl).withColumnsRenamed(named)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated."""
-    bad = find_contamination(docs, benchmark).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select("doc_id", "text", "lang", "source", "n_chars")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, held_bytes: int = HELD_BYTES) -> DataFrame:
+    """The documents that are not contaminated, each row by its own verdict, be its doc_id null or repeated."""
+    judged = find_contamination(docs, benchmark, held_bytes, ("text", "lang", "source", "n_chars"))
+    return judged.where("NOT contaminated").select("doc_id", "text", "lang", "source", "n_chars")
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:

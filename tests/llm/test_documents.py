@@ -189,6 +189,16 @@ def test_contamination_matches_brute_force(spark, held):
     assert all(r["n_hit"] == 0 for r in decontaminate.find_contamination(frame(spark, texts, 20), benchmark.where("item_id < 0"), held).collect())
 
 
+@pytest.mark.parametrize("held", [1 << 20, 0], ids=["held", "joined"])
+def test_each_row_goes_by_its_own_verdict(spark, held):
+    leaked, clean = prose(13) + " " + prose(11, 40), prose(14, 300)
+    rows = [(None, leaked), (None, clean), (7, leaked), (7, clean), (8, clean), (9, None)]
+    docs = spark.createDataFrame([(i, t, f"l{k}", "s", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = decontaminate.drop_contaminated(docs, spark.createDataFrame([(1, prose(11, 40))], "item_id long, text string"), held)
+    assert got.columns == docs.columns
+    assert {tuple(r) for r in got.collect()} == {(i, t, f"l{k}", "s", k) for k, (i, t) in enumerate(rows) if t != leaked}
+
+
 def test_packing_is_whole_and_tight(spark):
     from tokenizers import Tokenizer
 
