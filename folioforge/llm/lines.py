@@ -28,7 +28,7 @@ def _line_bounds(block: B.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, rows + np.arange(block.rows + 1)
 
 
-def _windows(window: int, long_words: int):
+def _windows(window: int, long_words: int, beside_long: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, stamps = batch.column("doc_id"), batch.column("stamp")
@@ -42,9 +42,9 @@ def _windows(window: int, long_words: int):
                 hashes = [B.range_hashes(block.data, starts[solid], ends[solid], v) for v in (B.BYTE_VALUES, B.OTHER_VALUES)]
                 for span in range(1, window + 1):
                     at = np.flatnonzero(B.whole_positions(heads, span, len(solid) - span + 1))
-                    if span < window:  # a shorter run stands by itself if it is long and no part of it is
+                    if span < window:  # a shorter run stands by itself if it is long and, but for beside_long, no part of it is
                         long = sum(words[at + k] for k in range(span)) >= long_words
-                        if span > 1:
+                        if span > 1 and not beside_long:
                             for k in range(span):
                                 long &= words[at + k] < long_words
                         at = at[long]
@@ -89,12 +89,14 @@ def _remove(extra: list[str]):
     return run
 
 
-def dedup_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS, carry: tuple[str, ...] = (), beside_long: bool = False) -> DataFrame:
     """Remove later occurrences of repeated line windows from `docs` (`doc_id`, `text`).
 
     A window is `window` consecutive lines, blank ones between them left aside: were they counted, one
     short line between two blank ones would be a window.  A shorter run also counts as one if it holds
-    `long_words` words, so that a long passage on one line is found among any neighbours.
+    `long_words` words, so that a long passage on one line is found among any neighbours.  Of a run of
+    two, each line must itself be shorter than that, as op9's SQL has it, so the short line of a repeated
+    passage of a short and a long one stays; with `beside_long` that run counts too.
     Windows are compared exactly, by 128-bit hashes.  Of equal windows the first stays, in the order
     of doc_id (null first), text stamp and line; the lines that any other occurrence covers go.
 
@@ -105,7 +107,7 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WO
     """
     extra = [f"_carry_{c}" for c in carry]
     frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("stamp"), *(F.col(c).alias(e) for c, e in zip(carry, extra, strict=True)))
-    found = frame.select("doc_id", "stamp", "text").mapInArrow(_windows(window, long_words), _WINDOWS)
+    found = frame.select("doc_id", "stamp", "text").mapInArrow(_windows(window, long_words, beside_long), _WINDOWS)
     order = F.struct("doc_id", "stamp", "pos")
     repeated = found.groupBy("a", "b").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first <> last").select("a", "b", "first")
     later = found.join(repeated, ["a", "b"]).where(F.struct("doc_id", "stamp", "pos") != F.col("first"))
@@ -118,8 +120,8 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WO
 
 
 def strip_repeats(docs: DataFrame) -> DataFrame:
-    """Documents with repeated windows removed; those that lose their whole text go."""
-    out = dedup_lines(docs, carry=("lang", "source")).where("n_removed = 0 OR rlike(text, '[^\\\\x20\\\\x09-\\\\x0D]')")
+    """Documents with repeated windows removed, a short line beside a long one included; those that lose their whole text go."""
+    out = dedup_lines(docs, carry=("lang", "source"), beside_long=True).where("n_removed = 0 OR rlike(text, '[^\\\\x20\\\\x09-\\\\x0D]')")
     return out.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 

@@ -100,6 +100,15 @@ def test_blank_lines_make_no_windows(spark):
     assert got[13] == (9, 7, "top\n")  # a, b, c and b, c, end, with the blank lines between
 
 
+def test_stage_removes_the_short_line_of_a_long_passage(spark):
+    head, long = "a heading of eight words stands right here", " ".join(WORDS[:60])
+    texts = [f"one\n{head}\n\n{long}\ntwo", f"three\n{head}\n\n{long}\nfour", f"five\n{long}\n{head}\nsix", f"seven\n{head}\neight"]
+    got = {r["doc_id"]: r["text"] for r in lines.strip_repeats(frame(spark, texts, 10)).collect()}
+    assert got == {10: texts[0], 11: "three\nfour", 12: f"five\n{head}\nsix", 13: texts[3]}
+    again = {r["doc_id"]: r["text"] for r in lines.dedup_lines(frame(spark, texts, 10)).collect()}
+    assert again[11] == f"three\n{head}\n\nfour"
+
+
 def shingles(text):
     w = re.findall("[^\x20\x09-\x0d]+", (text or "").translate(LOWER))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
