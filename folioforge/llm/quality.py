@@ -22,6 +22,18 @@ BOILERPLATE = (
 )
 NAVIGATION_MARKS = ("|", "»", "«", "›", "•", "·", ">", "/")
 TERMINALS = ".!?…:;。！？"
+#: Marks that end a sentence in other scripts, by Unicode's Sentence_Terminal, with the Tibetan shads: escapes,
+#: as many editors show none of them.
+OTHER_TERMINALS = (
+    "\u0589\u061d\u061e\u061f\u06d4\u0700\u0701\u0702\u07f9\u0837\u0839\u083d\u083e\u0964\u0965\u0f0d\u0f0e\u104a\u104b\u1362\u1367\u1368\u166e\u1735\u1736"
+    "\u17d4\u17d5\u1803\u1809\u1944\u1945\u1aa8\u1aa9\u1aaa\u1aab\u1b5a\u1b5b\u1b5e\u1b5f\u1b7d\u1b7e\u1b7f\u1c3b\u1c3c\u1c7e\u1c7f\u203c\u203d\u2047\u2048\u2049"
+    "\u2cf9\u2cfa\u2cfb\u2e2e\u2e3c\u2e53\u2e54\ua4ff\ua60e\ua60f\ua6f3\ua6f7\ua876\ua877\ua8ce\ua8cf\ua92f\ua9c8\ua9c9\uaa5d\uaa5e\uaa5f\uaaf0\uaaf1\uabeb"
+    "\ufe12\ufe15\ufe16\ufe52\ufe56\ufe57\uff0e\uff61\u037e"
+    "\U00010a56\U00010a57\U00010f55\U00010f56\U00010f57\U00010f58\U00010f59\U00010f86\U00010f87\U00010f88\U00010f89\U00011047\U00011048\U000110be\U000110bf\U000110c0"
+    "\U000110c1\U00011141\U00011142\U00011143\U000111c5\U000111c6\U000111cd\U000111de\U000111df\U00011238\U00011239\U0001123b\U0001123c\U000112a9\U0001144b\U0001144c"
+    "\U000115c2\U000115c3\U000115c9\U000115ca\U000115cb\U000115cc\U000115cd\U000115ce\U000115cf\U000115d0\U000115d1\U000115d2\U000115d3\U000115d4\U000115d5\U000115d6\U000115d7\U00011641\U00011642\U0001173c\U0001173d\U0001173e\U00011944\U00011946\U00011a42\U00011a43\U00011a9b\U00011a9c\U00011c41\U00011c42\U00011ef7"
+    "\U00011ef8\U00011f43\U00011f44\U00016a6e\U00016a6f\U00016af5\U00016b37\U00016b38\U00016b44\U00016e98\U0001bc9f\U0001da88"
+)
 CLOSERS = "\"')]}”’»*_"
 SYMBOLS = "#*$%&|<>"
 
@@ -38,17 +50,31 @@ class LineRules:
     mark_count: int = 3
     mark_percent: int = 20
     min_kept_percent: int = 50
+    #: Whether a sentence may end as in any script: with its own mark, and in Thai and Lao without one.
+    any_script: bool = False
+
+
+#: The rules of a stage that drops documents: op5's, but sentences may end as in any script.
+STAGE = LineRules(any_script=True)
 
 
 _boilerplate = re.compile("|".join(map(re.escape, BOILERPLATE)).encode())
 _symbols = re.compile(rb"[#*$%&|<>]")
 _marks = frozenset(m.encode() for m in NAVIGATION_MARKS)
 _sentence_end = re.compile("(?:{})(?:{})*(?:[\\x20\\x09-\\x0D]|$)".format("|".join(map(re.escape, TERMINALS)), "|".join(map(re.escape, CLOSERS))).encode())
+_other_end = re.compile(rf"[{OTHER_TERMINALS}][{re.escape(CLOSERS)}]*(?:[\x20\x09-\x0D]|$)")
+_no_marks = re.compile("[\u0e00-\u0eff]")  # Thai and Lao
+_visible = re.compile("[^\\x20\\x09-\\x0D]")
 _suspect = re.compile("|".join(map(re.escape, (*NAVIGATION_MARKS, *SYMBOLS, "!!"))).encode())
 _TEXT_SYMBOLS = np.zeros(256, bool)
 _TEXT_SYMBOLS[[ord(c) for c in SYMBOLS]] = True
 
 
+def _ends_otherwise(line: str) -> bool:
+    """Whether a word ends a sentence by a mark of another script, or half of the signs are of one that has none."""
+    return bool(_other_end.search(line)) or 2 * len(_no_marks.findall(line)) >= len(_visible.findall(line))
+
+
 def line_fault(line: bytes, words: list[bytes], rules: LineRules, phrases: bool = True) -> str | None:
     """The rule that a line breaks: punctuation, navigation or boilerplate; None for good and blank lines.
 
@@ -66,7 +92,7 @@ def line_fault(line: bytes, words: list[bytes], rules: LineRules, phrases: bool
             return "punctuation"
         if n > 2 and 100 * sum(w.endswith(b"!!") for w in words) >= rules.bang_percent * n:
             return "punctuation"
-    if n >= rules.long_line_words and not _sentence_end.search(line):
+    if n >= rules.long_line_words and not _sentence_end.search(line) and not (rules.any_script and not line.isascii() and _ends_otherwise(line.decode())):
         return "punctuation"
     if phrases and _boilerplate.search(line.lower()):
         return "boilerplate"
@@ -168,8 +194,8 @@ def judge_documents(docs: DataFrame, rules: LineRules = LineRules(), carry: tupl
     return out
 
 
-def filter_documents(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
-    """The documents that pass, with their clean text and the columns doc_id, text, lang, source, n_chars."""
+def filter_documents(docs: DataFrame, rules: LineRules = STAGE) -> DataFrame:
+    """The documents that pass, whatever script they are in, with their clean text and the columns doc_id, text, lang, source, n_chars."""
     judged = judge_documents(docs, rules, carry=("lang", "source")).where("kept")
     return judged.select("doc_id", F.col("clean_text").alias("text"), "lang", "source", F.length("clean_text").cast("long").alias("n_chars"))
 

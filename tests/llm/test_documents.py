@@ -82,6 +82,17 @@ def test_quality_line_rules(spark):
     assert got[11]["clean_text"] == good and got[13]["clean_text"] == good
 
 
+def test_stage_keeps_sentences_of_other_scripts(spark):
+    words = {
+        "\u0964": "यह एक साफ वाक्य है जिसमें कई शब्द और अर्थ मिलते हैं", "\u061f": "هل هذه جملة نظيفة فيها كلمات كثيرة ولها معنى واضح جدا اليوم", "\u06d4": "یہ ایک صاف جملہ ہے جس میں بہت سے الفاظ موجود ہیں آج",
+        "\u1362": "ይህ ብዙ ቃላት ያሉት ንጹሕ ዓረፍተ ነገር ነው እኛ ዛሬ እናነባለን", "\u0589": "սա մաքուր նախադասություն է որն ունի շատ բառեր և իմաստ այսօր", "": "นี่ คือ ประโยค ที่ สะอาด และ มี คำ มาก มาย ใน วันนี้",
+    }
+    texts = [w + end for end, w in words.items()] + ["यह एक साफ वाक्य है जिसमें कई शब्द और अर्थ मिलते हैं", prose(3)[:-1], prose(3)]
+    got = {r["doc_id"]: r["text"] for r in quality.filter_documents(frame(spark, texts, 10)).collect()}
+    assert got == {10 + i: t for i, t in enumerate(texts) if i not in (6, 7)}
+    assert sum(r["kept"] for r in quality.judge_documents(frame(spark, texts, 10)).collect()) == 1
+
+
 def test_lines_keep_first_occurrence(spark):
     a, b, c, d = "first line", "second line", "third line", "fourth line"
     long = " ".join(WORDS[:60])
