@@ -9,6 +9,7 @@ a multi-byte character belongs to a word.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from typing import NamedTuple
 
 import numpy as np
@@ -16,13 +17,11 @@ import pyarrow as pa
 
 BLOCK_BYTES = 2 << 20
 _U = np.uint64
-_rng = np.random.default_rng(20240611)
-BYTE_VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
-#: Other values, for a second and independent hash.
-OTHER_VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 2**64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Start values of two hashes that share no state.
+SEED, OTHER_SEED = 0x9E3779B97F4A7C15, 0x2545F4914F6CDD1D
+#: Ranges of more bytes than this are hashed one by one.
+_LONG_RANGE = 1 << 12
+_TAIL = np.array([2 ** (8 * k) - 1 for k in range(8)], np.uint64)
 
 
 def byte_table(separators: bytes) -> np.ndarray:
@@ -84,21 +83,57 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _BASE_INVERSE)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
-
-
-def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = BYTE_VALUES) -> np.ndarray:
-    """64-bit content hashes of byte ranges: a rolling polynomial over `values`, then mixed with the length."""
-    up, down = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(values[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position on as one number, zeros after the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """64-bit content hashes of byte ranges, eight bytes a step through a finaliser.
+
+    Every step is a bijection of the state and of the eight bytes, but no sum over positions, so no
+    pattern of a text (as there is for rolling polynomials) makes two ranges agree.
+    """
+    sizes = ends - starts
+    first = mix(np.array([seed], np.uint64))[0]
+    out = mix(sizes.astype(np.uint64) * _U(0xD6E8FEB86659FD93) + first)
+    step = _U(seed) ^ _U(0xC2B2AE3D27D4EB4F)
+    eights = _eights(data)
+    long = np.flatnonzero(sizes > _LONG_RANGE)
+    for k in long.tolist():
+        body = blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8, key=seed.to_bytes(8, "little")).digest()
+        out[k] ^= _U(int.from_bytes(body, "little"))
+    left = np.flatnonzero((sizes > 0) & (sizes <= _LONG_RANGE))
+    at, rest = starts[left], sizes[left]
+    while len(left):
+        part = eights[at]
+        short = rest < 8
+        part[short] &= _TAIL[rest[short]]
+        out[left] = mix((out[left] ^ part) + step)
+        more = rest > 8
+        left, at, rest = left[more], at[more] + 8, rest[more] - 8
+    return out
+
+
+def same_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray) -> bool:
+    """Whether every range holds the same bytes as the range whose number `others` gives."""
+    sizes = ends - starts
+    if (sizes != sizes[others]).any():
+        return False
+    eights = _eights(data)
+    left = np.flatnonzero(others != np.arange(len(others)))
+    here, there, rest = starts[left], starts[others[left]], sizes[left]
+    while len(here):
+        differ = eights[here] ^ eights[there]
+        short = rest < 8
+        differ[short] &= _TAIL[rest[short]]
+        if differ.any():
+            return False
+        more = rest > 8
+        here, there, rest = here[more] + 8, there[more] + 8, rest[more] - 8
+    return True
 
 
 def split_words(block: Block, inside: np.ndarray, fold: np.ndarray = SAME) -> Words:

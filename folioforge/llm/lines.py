@@ -39,7 +39,7 @@ def _windows(window: int, long_words: int, beside_long: bool):
                 solid = np.flatnonzero(words)
                 words, row = words[solid], np.repeat(np.arange(block.rows), np.diff(bounds))[solid]
                 pos, heads = solid - bounds[row], np.searchsorted(row, np.arange(block.rows + 1))
-                hashes = [B.range_hashes(block.data, starts[solid], ends[solid], v) for v in (B.BYTE_VALUES, B.OTHER_VALUES)]
+                hashes = [B.range_hashes(block.data, starts[solid], ends[solid], v) for v in (B.SEED, B.OTHER_SEED)]
                 for span in range(1, window + 1):
                     at = np.flatnonzero(B.whole_positions(heads, span, len(solid) - span + 1))
                     if span < window:  # a shorter run stands by itself if it is long and, but for beside_long, no part of it is
@@ -97,12 +97,13 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WO
     `long_words` words, so that a long passage on one line is found among any neighbours.  Of a run of
     two, each line must itself be shorter than that, as op9's SQL has it, so the short line of a repeated
     passage of a short and a long one stays; with `beside_long` that run counts too.
-    Windows are compared exactly, by 128-bit hashes.  Of equal windows the first stays, in the order
+    Windows are compared by two 64-bit hashes of their bytes that share no state.  Of equal windows the first stays, in the order
     of doc_id (null first), text stamp and line; the lines that any other occurrence covers go.
 
     Result: doc_id, n_lines, n_removed, text without those lines, and the columns in `carry`.  A null
     text has one empty line and stays null; rows that repeat doc_id and text are one document and are
-    treated alike; an empty table gives no rows.  The windows are pre-aggregated before their shuffle,
+    treated alike, rows of one doc_id with other texts are other documents; an empty table gives no
+    rows.  A text of any length is read in one piece: memory follows the longest text.  The windows are pre-aggregated before their shuffle,
     and hot windows meet their first occurrence in a join that Spark can split.
     """
     extra = [f"_carry_{c}" for c in carry]
@@ -120,13 +121,18 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WO
 
 
 def strip_repeats(docs: DataFrame) -> DataFrame:
-    """Documents with repeated windows removed, a short line beside a long one included; those that lose their whole text go."""
+    """Documents with repeated windows removed, a short line beside a long one included; those that lose their whole text go.
+
+    Null texts and blank ones that lost nothing stay; repeated rows and null ids are as in `dedup_lines`; an
+    empty table gives no rows; columns beyond doc_id, text, lang, source and n_chars are dropped.
+    """
     out = dedup_lines(docs, carry=("lang", "source"), beside_long=True).where("n_removed = 0 OR rlike(text, '[^\\\\x20\\\\x09-\\\\x0D]')")
     return out.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, f"{sf_dir}/documents.parquet"))
+    """Null texts come out empty here, as they do in the SQL."""
+    return dedup_lines(table(spark, f"{sf_dir}/documents.parquet")).withColumn("text", F.coalesce("text", F.lit("")))
 
 
 SQL = r"""
