@@ -26,7 +26,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def _print(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("high", "low") % 1_000_003), F.sum("low")).first())
+    """Number of edges and two digests of them that no size of ids can overflow."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("high", "low")), F.sum(F.pmod(F.xxhash64("low", "high"), F.lit(1_000_003)))).first())
 
 
 #: Edges, by their counted number, that one task may close by itself; 16 bytes each.

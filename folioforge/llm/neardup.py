@@ -90,6 +90,16 @@ def _table_keys(values: np.ndarray, bounds: np.ndarray, shape: Tensoring) -> np.
     return keys.reshape(shape.tables, -1).T
 
 
+def _set_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Two sums per set that tell sets of one size apart; zero for empty sets."""
+    sums = np.zeros((2, len(bounds) - 1), np.int64)
+    full = np.diff(bounds) > 0
+    if full.any():
+        for k, salt in enumerate((0x5851F42D4C957F2D, 0x14057B7EF767814F)):
+            sums[k][full] = np.add.reduceat(B.mix(values ^ _U(salt)), bounds[:-1][full]).view(np.int64)
+    return sums
+
+
 def _signatures(shape: Tensoring):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,16 +107,14 @@ def _signatures(shape: Tensoring):
                 values, bounds = shingle_sets(block, shape.shingle)
                 sizes = np.diff(bounds)
                 full = sizes > 0
-                sums = np.zeros((2, block.rows), np.int64)
                 keys = pa.nulls(block.rows, pa.list_(pa.int64()))
                 if full.any():
                     cuts = np.append(bounds[:-1][full], len(values))
-                    for k, salt in enumerate((0x5851F42D4C957F2D, 0x14057B7EF767814F)):
-                        sums[k][full] = np.add.reduceat(B.mix(values ^ _U(salt)), cuts[:-1]).view(np.int64)
                     made = np.ascontiguousarray(_table_keys(values, cuts, shape)).view(np.int64)
                     ends = np.concatenate([[0], np.cumsum(full)]) * shape.tables
                     keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(made.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(block.first, block.rows), pa.array(sizes), pa.array(sums[0]), pa.array(sums[1]), keys], ["doc_id", "n_shingles", "s1", "s2", "keys"])
+                own = (batch.column(c).slice(block.first, block.rows) for c in ("doc_id", "stamp"))
+                yield pa.RecordBatch.from_arrays([*own, pa.array(sizes), *map(pa.array, _set_sums(values, bounds)), keys], ["doc_id", "stamp", "n_shingles", "s1", "s2", "keys"])
 
     return run
 
@@ -117,11 +125,15 @@ def _sets(shape: Tensoring):
             for block in B.text_blocks(batch.column("text")):
                 values, bounds = shingle_sets(block, shape.shingle)
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(block.first, block.rows), lists], ["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.diff(bounds)), *map(pa.array, _set_sums(values, bounds)), lists], [*_SET, "shingles"])
 
     return run
 
 
+_SET = ["n_shingles", "s1", "s2"]
+_SET_DDL = "n_shingles long, s1 long, s2 long"
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (`high`, `low`) whose whole sets are similar enough."""
     left = sets.select(F.col("id").alias("high"), F.col("shingles").alias("s"))
@@ -158,35 +170,23 @@ def _alive(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return tokens.join(shared, "token", "left_semi").groupBy("id", "part", "n").agg(F.count("*").alias("live")).where(f"100 * live >= {percent} * n")
 
 
-def near_duplicates(docs: DataFrame, shape: Tensoring = Tensoring()) -> DataFrame:
-    """For each row of `docs` (`doc_id`, `text`): doc_id, n_shingles, component_id, kept.
-
-    A row's set is its distinct five-word shingles (A-Z lower-cased; fewer words make one shingle; no
-    words, or a null text, make none, and link with nothing).  Rows with equal sets form a class; of
-    classes only the least doc_id goes on.  Members of a bucket are first held against its least
-    member, then, where a bucket still holds several components, against one that the key's hash
-    draws, so a dense group is linked in linear work.  What remains apart is compared pair by pair
-    across components, once per pair, but only where the live shingles (those that two components
-    hold) could suffice; texts that differ from all others drop out there.  All links are
-    confirmed on whole sets; components are closed over links.
-
-    kept is true for the least doc_id of a component.  Rows that repeat a doc_id count as copies if
-    their sets are equal and are all kept with it; a null doc_id gives component null and is kept.
-    An empty table gives no rows; other columns are dropped.
-    """
-    frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = cut(frame.mapInArrow(_signatures(shape), "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>"))
-    classes = cut(signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("class_id")))
-    chosen = signed.join(classes.withColumnRenamed("class_id", "doc_id"), ["n_shingles", "s1", "s2", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    sizes = classes.select(F.col("class_id").alias("id"), "n_shingles").dropDuplicates(["id"])
-    bucketed = chosen.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
+def _labelled(docs: DataFrame, shape: Tensoring) -> DataFrame:
+    """For each row of `docs` (`doc_id`, `text`): doc_id, stamp of the text, n_shingles, component_id."""
+    frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("stamp"))
+    signed = cut(frame.mapInArrow(_signatures(shape), f"doc_id long, stamp long, {_SET_DDL}, keys array<long>"))
+    # A class is a set, whatever the ids of its rows; its number is any that no other class has.
+    named = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*_SET).agg(F.min("doc_id").alias("class_id"), F.first("keys").alias("keys"))
+    classes = cut(named.withColumn("id", F.monotonically_increasing_id()))
+    sizes = classes.select("id", "n_shingles")
+    bucketed = classes.select("id", F.explode("keys").alias("key"))
     hubs = bucketed.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("members")).where("members > 1").select("key", "hub")
     members = cut(bucketed.join(hubs, "key"))
 
-    wanted = cut(members.select(F.col("id").alias("doc_id")).distinct())
+    wanted = cut(classes.drop("keys").join(members.select("id").distinct(), "id", "left_semi"))
     if wanted.count() <= HELD_IDS:
         wanted = F.broadcast(wanted)
-    sets = cut(frame.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(shape), "id long, shingles array<long>").dropDuplicates(["id"]))
+    texts = frame.join(wanted.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").select("text")
+    sets = cut(texts.mapInArrow(_sets(shape), f"{_SET_DDL}, shingles array<long>").join(wanted, _SET).select("id", "shingles").dropDuplicates(["id"]))
     first = cut(_fitting(members.where("id > hub").select(F.col("id").alias("high"), F.col("hub").alias("low")), sizes, shape.percent))
     links = cut(_confirmed(first, sets, shape.percent))
     parts = connected_components(links)
@@ -204,7 +204,9 @@ def near_duplicates(docs: DataFrame, shape: Tensoring = Tensoring()) -> DataFram
 
     apart = _apart(apart.select("key", "id"), parts)
     alive = cut(_alive(apart.select("id", "part").distinct(), sets, shape.percent))
-    ready = apart.select("key", "id").join(alive, "id").join(chosen.select(F.col("doc_id").alias("id"), "keys"), "id")
+    mixed = cut(apart.select("key", "id").join(alive.select("id"), "id", "left_semi"))
+    # Only the keys still mixed travel with a member: two that meet in several buckets meet in these alone.
+    ready = mixed.join(alive.join(mixed.groupBy("id").agg(F.collect_set("key").alias("keys")), "id"), "id")
     a = ready.select("key", *(F.col(c).alias(f"{c}_a") for c in ("id", "part", "n", "live", "keys")))
     b = ready.select("key", *(F.col(c).alias(f"{c}_b") for c in ("id", "part", "n", "live", "keys")))
     enough = f"100 * least(live_a, live_b) >= {shape.percent} * (n_a + n_b - least(live_a, live_b))"
@@ -215,9 +217,34 @@ def near_duplicates(docs: DataFrame, shape: Tensoring = Tensoring()) -> DataFram
     if not late.isEmpty():
         parts = connected_components(links.unionByName(late))
 
-    full = signed.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["n_shingles", "s1", "s2"], "left").join(parts.withColumnRenamed("node", "class_id"), "class_id", "left")
-    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "class_id", "doc_id"))
-    out = full.select("doc_id", "n_shingles", component.alias("component_id"))
+    linked = classes.select(*_SET, "class_id", "id").join(parts.withColumnRenamed("node", "id"), "id", "left")
+    named = linked.where("component IS NOT NULL").groupBy("component").agg(F.min("class_id").alias("least"))
+    linked = linked.join(named, "component", "left").select(*_SET, F.coalesce("least", "class_id").alias("least"))
+    full = signed.drop("keys").join(linked, _SET, "left")
+    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("least", "doc_id"))
+    return full.select("doc_id", "stamp", "n_shingles", component.alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, shape: Tensoring = Tensoring()) -> DataFrame:
+    """For each row of `docs` (`doc_id`, `text`): doc_id, n_shingles, component_id, kept.
+
+    A row's set is its distinct five-word shingles (A-Z lower-cased; fewer words make one shingle; no
+    words, or a null text, make none, and link with nothing).  Shingles are 64-bit hashes of whole
+    words.  Rows with equal sets form a class, whatever their ids, and classes are compared.  Members
+    of a bucket are first held against one of it, then, where a bucket still holds several components,
+    against one that the key's hash draws, so a dense group is linked in linear work.  What remains
+    apart is compared pair by pair across components, once per pair, but only where the live shingles
+    (those that two components hold) could suffice; texts that differ from all others drop out there.
+    All links are confirmed on whole sets; components are closed over links, and component_id is the
+    least doc_id of any of their rows.
+
+    kept is true where doc_id is component_id.  Rows that repeat a doc_id are rows of their own: with
+    equal sets they are copies, with other texts each keeps its own links.  A null doc_id gives
+    component null, links with nothing and is kept.  Ids may be any longs.  A text of any length is
+    read whole; memory follows the longest text.  An empty table gives no rows; other columns are
+    dropped.
+    """
+    out = _labelled(docs, shape).drop("stamp")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -227,9 +254,17 @@ STAGE = Tensoring(percent=80)
 
 
 def drop_near_duplicates(docs: DataFrame, shape: Tensoring = STAGE) -> DataFrame:
-    """One document of each near-duplicate component, that of the least doc_id."""
-    gone = near_duplicates(docs, shape).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select("doc_id", "text", "lang", "source", "n_chars")
+    """One document of each near-duplicate component, that of the least doc_id.
+
+    Each row goes by the verdict of its own text, so other rows of its doc_id do not touch it; rows that
+    repeat doc_id and text are one document and stay or go together.  Rows of null doc_id or without
+    words stay; an empty table gives no rows; columns beyond those of documents are dropped.
+    """
+    gone = cut(_labelled(docs, shape).where("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("stamp").alias("_stamp")).distinct())
+    if gone.count() <= HELD_IDS:
+        gone = F.broadcast(gone)
+    kept = docs.withColumn("_own", F.xxhash64("text")).join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("_own") == F.col("_stamp")), "left_anti")
+    return kept.select("doc_id", "text", "lang", "source", "n_chars")
 
 
 def op7_minhash_dedup(spark, sf_dir: str) -> DataFrame:
