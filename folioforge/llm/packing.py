@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,7 +22,11 @@ SEQUENCE = 1024
 END_ID = 2
 #: Pieces that one task packs; a sequence never mixes shards, which costs about one sequence each.
 SHARD_PIECES = 200_000
-_CACHE_ENTRIES = 800_000
+#: Bytes of known chunks that a worker holds, with their ids and about what their entries take.
+_TABLE_BYTES = 96 << 20
+_ENTRY_BYTES = 150
+#: Longer chunks, such as texts without spaces, are encoded where they stand and not held.
+_HELD_CHUNK = 64
 #: Chunks encoded at once; the tokenizer's own records of them are far larger than their ids.
 _BATCH_CHUNKS = 4096
 
@@ -42,7 +47,8 @@ class Encoder:
     The byte-level pre-tokenizer lets a space only begin a token, so a text can be cut before a
     space that a visible character follows, and the chunks encoded apart.  A space before a
     non-ASCII byte is a cut only after a visible ASCII character, as that byte may begin another
-    white space.
+    white space.  A text that holds one of the vocabulary's special strings is one chunk: these are
+    found before words are, and change how spaces beside them are taken.
     """
 
     def __init__(self, path: str):
@@ -50,28 +56,48 @@ class Encoder:
         from tokenizers import Tokenizer
 
         if path not in _tokenizers:
-            made = Tokenizer.from_file(path)
-            made.encode_special_tokens = True
-            _tokenizers[path] = made
+            _tokenizers[path] = Tokenizer.from_file(path)
         self.tokenizer = _tokenizers[path]
-        #: Chunk to place << 24 | length in `flat`, the ids of all known chunks.
-        self.known: dict[bytes, int] = {}
-        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        if len(self.known) + len(chunks) > _CACHE_ENTRIES:
-            self.known.clear()
-            self.used = 0
+        added = [re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile(b"|".join(added)) if added else None
+        #: Chunk to place and length in `flat`, the ids of the chunks that are held and, after them, of a block's long ones.
+        self.known: dict[bytes, tuple[int, int]] = {}
+        self.flat, self.used, self.held = np.empty(1 << 16, np.uint32), 0, 0
+
+    def _append(self, chunks: list[bytes], at: int) -> list[tuple[int, int]]:
+        """Encode chunks into `flat` from `at` on; their places and lengths."""
+        places = []
         for low in range(0, len(chunks), _BATCH_CHUNKS):
             some = chunks[low : low + _BATCH_CHUNKS]
-            for chunk, made in zip(some, self.tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False), strict=True):
+            for made in self.tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False):
                 ids = made.ids
-                end = self.used + len(ids)
-                if end > len(self.flat):
-                    self.flat = np.resize(self.flat, max(end, 2 * len(self.flat)))
-                self.flat[self.used : end] = ids
-                self.known[chunk] = self.used << 24 | len(ids)
-                self.used = end
+                if at + len(ids) > len(self.flat):
+                    self.flat = np.resize(self.flat, max(at + len(ids), 2 * len(self.flat)))
+                self.flat[at : at + len(ids)] = ids
+                places.append((at, len(ids)))
+                at += len(ids)
+        return places
+
+    def _places(self, chunks: list[bytes]) -> list[tuple[int, int]]:
+        """Place and length in `flat` of every chunk, until the next call."""
+        places = list(map(self.known.get, chunks))
+        fresh = [c for c, p in zip(chunks, places, strict=True) if p is None and len(c) <= _HELD_CHUNK]
+        if self.held + sum(map(len, fresh)) + _ENTRY_BYTES * len(fresh) > _TABLE_BYTES:
+            self.known.clear()
+            self.used = self.held = 0
+            if len(self.flat) * 4 > _TABLE_BYTES:
+                self.flat = np.empty(1 << 16, np.uint32)
+            fresh, places = [c for c in chunks if len(c) <= _HELD_CHUNK], [None] * len(chunks)
+        if fresh:
+            made = self._append(fresh, self.used)
+            self.known.update(zip(fresh, made, strict=True))
+            self.used = sum(made[-1])
+            self.held += sum(map(len, fresh)) + _ENTRY_BYTES * len(fresh)
+            places = list(map(self.known.get, chunks))
+        long = [i for i, p in enumerate(places) if p is None]
+        for i, place in zip(long, self._append([chunks[i] for i in long], self.used), strict=True):
+            places[i] = place
+        return places
 
     def _cuts(self, block: B.Block) -> np.ndarray:
         data = block.data
@@ -83,6 +109,9 @@ class Encoder:
         starts = block.offsets[:-1][np.diff(block.offsets) > 0]
         ends = starts[starts > 0] - 1
         cut_at[ends] = False  # the space at the end of a text is followed by another text
+        special = np.array([m.start() for m in self.added.finditer(data)] if self.added else [], np.int64)
+        for row in np.unique(np.searchsorted(block.offsets, special, "right") - 1).tolist():
+            cut_at[block.offsets[row] : block.offsets[row + 1]] = False
         cut_at[starts] = True
         return np.flatnonzero(cut_at)
 
@@ -92,18 +121,14 @@ class Encoder:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(block.rows + 1, np.int64)
         ends = np.append(starts[1:], len(block.data))
-        _, first, which = np.unique(B.range_hashes(block.data, starts, ends), return_index=True, return_inverse=True)
         raw = block.data.tobytes()
+        _, first, which = np.unique(B.range_hashes(block.data, starts, ends), return_index=True, return_inverse=True)
+        if not B.same_ranges(block.data, starts, ends, first[which]):  # equal hashes of unequal chunks: go by the chunks
+            seen: dict[bytes, int] = {}
+            which = np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+            _, first = np.unique(which, return_index=True)
         chunks = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        codes = list(map(self.known.get, chunks))
-        fresh = [c for c, code in zip(chunks, codes, strict=True) if code is None]
-        if fresh:
-            if len(self.known) + len(fresh) > _CACHE_ENTRIES:
-                fresh = chunks
-            self._learn(fresh)
-            codes = [self.known[c] for c in chunks]
-        places = np.array(codes, np.int64)
-        sizes, begin = places & 0xFFFFFF, places >> 24
+        begin, sizes = np.array(self._places(chunks), np.int64).T
         lengths = sizes[which]
         ends_at = np.cumsum(lengths)
         ids = self.flat[np.repeat(begin[which] - (ends_at - lengths), lengths) + np.arange(ends_at[-1])]
@@ -220,8 +245,10 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, size: int = SE
     shard is packed by itself, so no task grows with the data and no key can be hot.
 
     A null text is empty: one piece of one id.  A null doc_id stays null; repeated rows are packed
-    each; an empty table gives no rows; other columns are dropped.  `tokenizer` None means the public
-    byte-level vocabulary as installed on each worker.
+    each; an empty table gives no rows; other columns are dropped.  Special strings of the vocabulary
+    become their ids, as the tokenizer's plain call has it.  A text of any length is encoded whole;
+    memory follows the longest text.  `tokenizer` None means the public byte-level vocabulary as
+    installed on each worker.
     """
     frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     pieces = cut(frame.mapInArrow(_pieces(tokenizer, size, end_id), _PIECES))
