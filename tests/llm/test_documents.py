@@ -223,8 +223,8 @@ def test_packing_is_whole_and_tight(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(packing.default_tokenizer())
-    tokenizer.encode_special_tokens = True
-    texts = [*(prose(i, 40 + 13 * i) for i in range(60)), "日本 語  x\n\n y", " a  b ", "<|endoftext|> z", "", None, prose(5, 900)]
+    special = ["<|endoftext|> z", "a  <|endoftext|>  b", "<|endoftext|>", "x <|endoftext|><|endoftext|>\n y <|endoftext|", " <|endoftext|> " * 400, "nbsp\u00a0\u00a0 x \u3000 y"]
+    texts = [*(prose(i, 40 + 13 * i) for i in range(60)), "日本 語  x\n\n y", " a  b ", *special, "", None, prose(5, 900), "日本語" * 20_000, "y" * 70_000 + " z"]
     got = packing.pack_documents(frame(spark, texts, 10)).collect()
     ids = {10 + i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
     bins = collections.defaultdict(list)
