@@ -152,6 +152,15 @@ def split_words(block: Block, inside: np.ndarray, fold: np.ndarray = SAME) -> Wo
     return Words(starts, ends, range_hashes(data, starts, ends), np.searchsorted(starts, block.offsets))
 
 
+def grams_at(hashes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the `size` values from each of the given positions on."""
+    out = np.full(len(at), size, np.uint64)
+    for k in range(size):
+        out = (out ^ hashes[at + k]) * _U(0xC2B2AE3D27D4EB4F)
+        out ^= out >> _U(29)
+    return mix(out)
+
+
 def grams(hashes: np.ndarray, size: int) -> np.ndarray:
     """Hash of the `size` values from each position on; the last size-1 positions are absent."""
     n = len(hashes) - size + 1

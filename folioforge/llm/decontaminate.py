@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -12,23 +10,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm import blocks as B
+from folioforge.llm.staging import cut
 from folioforge.sources.files import table
 
+_U = np.uint64
 SPAN = 13
 GRAM = 5
-#: Texts of a benchmark up to this many bytes are held by every worker; larger ones are joined by fingerprint.
-HELD_BYTES = 64 << 20
-
-_OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
-_DDL = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-
-
-class Index(NamedTuple):
-    """Item ids, the ordered fingerprints of items, and by window size: window hashes, where each one's items begin, items."""
-
-    ids: list[str]
-    prints: np.ndarray
-    windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+#: Most bytes of the filter of benchmark hashes that every worker holds, whatever the benchmark's size.  A full
+#: filter lets more windows through to the join; the result is the same.
+FILTER_BYTES = 16 << 20
+_FILTER_BITS = 16  # a hash, while the filter is below its limit
+#: Contaminated texts, by their counted number, that may be broadcast (16 bytes each); more are joined.
+HELD_TEXTS = 1 << 20
 
 
 def winnow(words: B.Words, gram: int = GRAM, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
@@ -57,174 +50,182 @@ def _words(texts: pa.Array) -> Iterator[tuple[B.Block, B.Words]]:
         yield block, B.split_words(block, B.ALNUM, B.LOWER)
 
 
-def _grouped(values: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct values in order, where each one's distinct items begin, and these."""
-    order = np.lexsort((items, values))
-    values, items = values[order], items[order]
-    fresh = np.ones(len(values), bool)
-    fresh[1:] = (values[1:] != values[:-1]) | (items[1:] != items[:-1])
-    values, items = values[fresh], items[fresh]
-    unique, firsts = np.unique(values, return_index=True)
-    return unique, np.append(firsts, len(values)), items
-
-
-def build_index(ids: list[str], texts: pa.Array, span: int = SPAN) -> Index:
-    """Index of benchmark items; items without words have no window and are not in it."""
-    parts = [(words.hashes, np.diff(words.bounds)) for _, words in _words(texts)]
-    hashes = np.concatenate([p[0] for p in parts] or [np.zeros(0, np.uint64)])
-    sizes = np.concatenate([p[1] for p in parts] or [np.zeros(0, np.int64)])
-    bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    _, prints = winnow(B.Words(hashes, hashes, hashes, bounds), span=span)
-    windows = {}
-    for size in range(1, span + 1):
-        at = np.flatnonzero(B.whole_positions(bounds, size, len(hashes) - size + 1))
-        item = np.searchsorted(bounds, at, "right") - 1
-        if size < span:
-            at, item = at[sizes[item] == size], item[sizes[item] == size]
-        if len(at):
-            windows[size] = _grouped(B.grams(hashes, size)[at], item)
-    return Index(ids, np.unique(prints), windows)
-
-
-def _found(wanted: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which of `values` stand in the ordered `wanted`, and where there."""
-    if not len(wanted) or not len(values):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.minimum(np.searchsorted(wanted, values), len(wanted) - 1)
-    same = np.flatnonzero(wanted[at] == values)
-    return same, at[same]
-
-
-def mark(words: B.Words, index: Index, span: int = SPAN) -> tuple[np.ndarray, set[tuple[int, int]]]:
-    """Hit words of each row, and the (row, item) pairs with a window in common."""
-    n = len(words.hashes)
-    cover = np.zeros(n + 1, np.int64)
-    pairs: set[tuple[int, int]] = set()
-    at, prints = winnow(words, span=span)
-    near = at[_found(index.prints, prints)[0]]
-    # A shared window holds a selected k-gram at the same place in both texts: only windows around a match are looked up.
-    starts = np.unique(near[:, None] - np.arange(span - GRAM + 1))
-    for size, (whole, firsts, items) in index.windows.items():
-        fits = B.whole_positions(words.bounds, size, n - size + 1)
-        near = starts[(starts >= 0) & (starts < len(fits))]
-        ok = near[fits[near]] if size == span else np.flatnonzero(fits)
-        if not len(ok):
-            continue
-        same, entry = _found(whole, B.grams(words.hashes, size)[ok])
-        at = ok[same]
-        np.add.at(cover, at, 1)
-        np.add.at(cover, at + size, -1)
-        rows = np.searchsorted(words.bounds, at, "right") - 1
-        for row, e in set(zip(rows.tolist(), entry.tolist(), strict=True)):
-            pairs.update((row, i) for i in items[firsts[e] : firsts[e + 1]].tolist())
-    hit = np.concatenate([[0], np.cumsum(np.cumsum(cover[:-1]) > 0)])
-    return np.diff(hit[words.bounds]), pairs
-
-
-def _report(ids: pa.Array, words: B.Words, index: Index) -> pa.RecordBatch:
-    hit, pairs = mark(words, index)
-    items: dict[int, set[str]] = {}
-    for row, item in pairs:
-        items.setdefault(row, set()).add(index.ids[item])
-    n_words = np.diff(words.bounds)
-    rows = range(len(n_words))
-    shas = [hashlib.sha256(",".join(sorted(items.get(r, ()))).encode()).hexdigest() for r in rows]
-    return pa.RecordBatch.from_arrays(
-        [ids, pa.array(n_words, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(items.get(r, ())) for r in rows], pa.int64()), pa.array(shas, pa.string()), pa.array((hit > 0) & (20 * hit >= n_words))],
-        schema=_OUT,
-    )
-
-
-def _beside(report: pa.RecordBatch, rows: pa.RecordBatch, extra: list[str]) -> pa.RecordBatch:
-    """The report with columns of the rows that it judges."""
-    return pa.RecordBatch.from_arrays([*report.columns, *(rows.column(c) for c in extra)], [*_OUT.names, *extra])
-
-
-def _by_held_index(held, extra: list[str]):
+def _codes(hashes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Codes of the windows of `size` words from the given positions on; windows of other sizes have other codes."""
+    return B.mix(B.grams_at(hashes, at, size) + _U(size * 0x9FB21C651E98DF25 % 2**64))
+
+
+def _item_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every item's window codes with their size, and its fingerprints with size 0."""
+    for batch in batches:
+        for block, words in _words(batch.column("text")):
+            sizes, total = np.diff(words.bounds), len(words.hashes)
+            at, prints = winnow(words)
+            parts = [(np.searchsorted(words.bounds, at, "right") - 1, prints, 0)]
+            for size in np.unique(np.minimum(sizes[sizes > 0], SPAN)).tolist():
+                ok = np.flatnonzero(B.whole_positions(words.bounds, size, total - size + 1))
+                rows = np.searchsorted(words.bounds, ok, "right") - 1
+                if size < SPAN:
+                    ok, rows = ok[sizes[rows] == size], rows[sizes[rows] == size]
+                parts.append((rows, _codes(words.hashes, ok, size), size))
+            for rows, codes, size in parts:
+                item = batch.column("item").slice(block.first, block.rows).take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([item, pa.array(codes.view(np.int64)), pa.array(np.full(len(codes), size, np.int32))], ["item", "code", "size"])
+
+
+def _filter(codes: DataFrame, count: int, most_bytes: int) -> np.ndarray:
+    """Three bits for every code in one of a power of two of 64-bit slots, at most `most_bytes`, made by Spark."""
+    slots = 64
+    wanted = min(count * _FILTER_BITS // 64, most_bytes // 8)
+    while slots < wanted:
+        slots *= 2
+    bit = lambda k: F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(code, {k}) & 63 AS INT))")
+    slot = F.shiftrightunsigned("code", 64 - (slots.bit_length() - 1))
+    made = codes.groupBy(slot.alias("slot")).agg(F.bit_or(bit(0).bitwiseOR(bit(6)).bitwiseOR(bit(12))).alias("bits")).toArrow()
+    out = np.zeros(slots, np.int64)
+    out[made.column("slot").to_numpy()] = made.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def _passes(bits: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    want = np.zeros(len(codes), np.uint64)
+    for k in (0, 6, 12):
+        want |= _U(1) << ((codes >> _U(k)) & _U(63))
+    return bits[codes >> _U(64 - (len(bits).bit_length() - 1))] & want == want
+
+
+def _candidates(held, sizes: list[int]):
+    """Word count of each row, and its windows that may be an item's: code, size and places, one entry a code."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(*held.value)
+        bits = held.value
         for batch in batches:
             for block, words in _words(batch.column("text")):
-                rows = batch.slice(block.first, block.rows)
-                yield _beside(_report(rows.column("doc_id"), words, index), rows, extra)
+                at, prints = winnow(words)
+                # A shared window holds a selected k-gram at the same place in both texts: only windows around a match are looked up.
+                near = at[_passes(bits, prints)]
+                starts = np.unique(near[:, None] - np.arange(SPAN - GRAM + 1))
+                rows, codes, lengths, places = [], [], [], []
+                for size in sizes:
+                    fits = B.whole_positions(words.bounds, size, len(words.hashes) - size + 1)
+                    ok = starts[(starts >= 0) & (starts < len(fits))] if size == SPAN else np.arange(len(fits))
+                    ok = ok[fits[ok]]
+                    code = _codes(words.hashes, ok, size)
+                    passed = _passes(bits, code)
+                    ok, code = ok[passed], code[passed]
+                    row = np.searchsorted(words.bounds, ok, "right") - 1
+                    rows.append(row)
+                    codes.append(code)
+                    lengths.append(np.full(len(ok), size, np.int32))
+                    places.append((ok - words.bounds[row]).astype(np.int32))
+                row, code, length, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, codes, lengths, places))
+                order = np.lexsort((place, code, row))
+                row, code, length, place = row[order], code.view(np.int64)[order], length.astype(np.int32)[order], place.astype(np.int32)[order]
+                fresh = np.ones(len(row), bool)
+                fresh[1:] = (row[1:] != row[:-1]) | (code[1:] != code[:-1])
+                first = np.flatnonzero(fresh)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.array(place))
+                entries = pa.StructArray.from_arrays([pa.array(code[first]), pa.array(length[first]), lists], ["code", "size", "at"])
+                own = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[first], np.arange(block.rows + 1)).astype(np.int32)), entries)
+                ids = (batch.column(c).slice(block.first, block.rows) for c in ("doc_id", "s1", "s2"))
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(np.diff(words.bounds), pa.int64()), own], ["doc_id", "s1", "s2", "n_words", "seen"])
 
     return run
 
 
-def _by_own_items(extra: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                own = batch.column("items")[row].as_py() or []
-                index = build_index([x["item"] for x in own], pa.array([x["item_text"] for x in own], pa.string()))
-                one = batch.slice(row, 1)
-                for _, words in _words(one.column("text")):
-                    yield _beside(_report(one.column("doc_id"), words, index), one, extra)
+_SCANNED = "doc_id long, s1 long, s2 long, n_words long, seen array<struct<code:long,size:int,at:array<int>>>"
 
-    return run
 
+def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words that lie in any of a text's windows."""
+    for batch in batches:
+        hit = []
+        for n, spans in zip(batch.column("n_words").to_pylist(), batch.column("spans"), strict=True):
+            cover = np.zeros(n + 1, np.int64)
+            at = spans.values.field("at")
+            sizes = np.repeat(spans.values.field("size").to_numpy(), at.value_lengths().to_numpy())
+            at = at.flatten().to_numpy()
+            np.add.at(cover, at, 1)
+            np.add.at(cover, at + sizes, -1)
+            hit.append(int((np.cumsum(cover[:n]) > 0).sum()))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("s1", "s2", "n_words")), pa.array(hit, pa.int64()), batch.column("classes")], ["s1", "s2", "n_words", "n_hit", "classes"])
 
-def _prints(lengths: tuple[int, ...], key: str, kind: str, whole: bool):
-    """Distinct fingerprints of each row; the sizes of `lengths` also get one for every place (or for the whole row)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, words in _words(batch.column("text")):
-                at, prints = winnow(words)
-                parts = [(np.searchsorted(words.bounds, at, "right") - 1, prints)]
-                sizes = np.diff(words.bounds)
-                for size in lengths:
-                    ok = np.flatnonzero(B.whole_positions(words.bounds, size, len(words.hashes) - size + 1))
-                    rows = np.searchsorted(words.bounds, ok, "right") - 1
-                    if whole:
-                        ok, rows = ok[sizes[rows] == size], rows[sizes[rows] == size]
-                    if len(ok):
-                        parts.append((rows, B.grams(words.hashes, size)[ok] ^ np.uint64(size)))
-                rows, prints = (np.concatenate(x) for x in zip(*parts, strict=True))
-                ids = batch.column(key).slice(block.first, block.rows).take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(prints.view(np.int64))], [kind, "print"])
+def _stamped(docs: DataFrame, *columns: str) -> DataFrame:
+    return docs.select(*columns, "text", F.xxhash64("text").alias("s1"), F.xxhash64(F.lit(7), "text").alias("s2"))
 
-    return run
 
+def _judged(docs: DataFrame, benchmark: DataFrame, filter_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Scanned rows; texts with hits and the classes of windows hit; items of each class.
+
+    A class is all windows that stand in the same items: a passage that many items share is one, so a
+    text meets few classes however many items and windows it hits.
+    """
+    spark = docs.sparkSession
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").where("text IS NOT NULL")
+    codes = cut(items.mapInArrow(_item_codes, "item string, code long, size int").distinct())
+    counts = dict(codes.groupBy("size").count().collect())  # fingerprints and at most SPAN sizes
+    held = spark.sparkContext.broadcast(_filter(codes, sum(counts.values()), filter_bytes))
+    frame = _stamped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id")
+    scanned = cut(frame.select("doc_id", "s1", "s2", "text").mapInArrow(_candidates(held, sorted(counts.keys() - {0})), _SCANNED))
+
+    windows = codes.where("size > 0").select("code", "item")
+    shared = windows.groupBy("code").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("item")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "item")).alias("y"))
+    named = shared.groupBy("n", "x", "y").agg(F.min("code").alias("class"))
+    classes = shared.join(named, ["n", "x", "y"]).select("code", "class")
+    members = windows.join(named.select(F.col("class").alias("code")), "code", "left_semi").withColumnRenamed("code", "class")
+
+    texts = scanned.where("size(seen) > 0").groupBy("s1", "s2").agg(F.first("n_words").alias("n_words"), F.first("seen").alias("seen"))
+    met = texts.select("s1", "s2", "n_words", F.inline("seen")).join(classes, "code")
+    spans = met.groupBy("s1", "s2", "n_words").agg(F.collect_list(F.struct("size", "at")).alias("spans"), F.array_sort(F.collect_set("class")).alias("classes"))
+    return scanned, cut(spans.mapInArrow(_covered, "s1 long, s2 long, n_words long, n_hit long, classes array<long>")), members
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, held_bytes: int = HELD_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+
+_CONTAMINATED = "n_hit > 0 AND 20 * n_hit >= n_words"
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """Words of each of `docs` (`doc_id`, `text`) that stand in a window of `benchmark` (`item_id`, `text`).
 
     Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z lower-cased.  A window is
     13 consecutive words of an item, or all words of a shorter one.  Result per row: doc_id, n_words,
     n_hit (words inside any occurrence of a window), n_items, items_sha256 and contaminated (at
-    least a twentieth of the words, and one, are hit), and the row's own columns in `carry`.
+    least a twentieth of the words, and one, are hit).
+
+    Fingerprints of the documents that pass a filter of the benchmark's are extended to the windows
+    around them, and those are joined with the benchmark's by 64-bit hashes; only hashes and places travel.  A text
+    that many rows share is looked up once.
 
     A null text has no words; items with null text or without words have no window, a null item_id is
-    listed as an empty string; repeated rows are judged alike; an empty table gives no rows and an
-    empty benchmark no hits.  A benchmark whose measured texts exceed `held_bytes` is not held by the
-    workers: fingerprints are then joined, and each document meets only the items that share one.
+    listed as an empty string; rows of one item_id are one item; repeated rows are judged alike; an
+    empty table gives no rows and an empty benchmark no hits; other columns are dropped.  A text of
+    any length is read whole; memory follows the longest text.
     """
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").where("text IS NOT NULL")
-    extra = [f"_carry_{c}" for c in carry]
-    frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(c).alias(e) for c, e in zip(carry, extra, strict=True)))
-    ddl = _DDL + "".join(f", `{e}` {frame.schema[e].dataType.simpleString()}" for e in extra)
-    named = dict(zip(extra, carry, strict=True))
-    if (items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0) <= held_bytes:
-        table = items.toArrow()
-        index = build_index(table.column("item").to_pylist(), table.column("text").combine_chunks())
-        held = docs.sparkSession.sparkContext.broadcast(tuple(index))
-        return frame.mapInArrow(_by_held_index(held, extra), ddl).withColumnsRenamed(named)
-    count = F.size(F.regexp_extract_all(F.lower("text"), F.lit("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), F.lit(0)))
-    lengths = tuple(r[0] for r in items.select(count.alias("n")).where(f"n BETWEEN 1 AND {SPAN - 1}").distinct().collect())
-    stamped = frame.withColumn("stamp", F.xxhash64("doc_id", "text"))
-    numbered = items.withColumn("item_stamp", F.xxhash64("item", "text")).dropDuplicates(["item_stamp"])
-    ours = numbered.select("item_stamp", "text").mapInArrow(_prints(lengths, "item_stamp", "item_stamp", True), "item_stamp long, print long").distinct()
-    theirs = stamped.select("stamp", "text").mapInArrow(_prints(lengths, "stamp", "stamp", False), "stamp long, print long")
-    met = theirs.join(ours, "print").select("stamp", "item_stamp").distinct()
-    own = met.join(numbered.withColumnRenamed("text", "item_text"), "item_stamp").groupBy("stamp").agg(F.collect_list(F.struct("item", "item_text")).alias("items"))
-    return stamped.join(own, "stamp", "left").select("doc_id", "text", "items", *extra).mapInArrow(_by_own_items(extra), ddl).withColumnsRenamed(named)
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, held_bytes: int = HELD_BYTES) -> DataFrame:
-    """The documents that are not contaminated, each row by its own verdict, be its doc_id null or repeated."""
-    judged = find_contamination(docs, benchmark, held_bytes, ("text", "lang", "source", "n_chars"))
-    return judged.where("NOT contaminated").select("doc_id", "text", "lang", "source", "n_chars")
+    scanned, hits, members = _judged(docs, benchmark, filter_bytes)
+    sets = hits.select("classes").distinct()
+    items = sets.select("classes", F.explode("classes").alias("class")).join(members, "class").groupBy("classes").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    listed = items.select("classes", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    verdicts = hits.join(listed, "classes").select("s1", "s2", "n_hit", "n_items", "items_sha256")
+    rows = scanned.select("doc_id", "s1", "s2", "n_words", (F.size("seen") > 0).alias("seen"))
+    blank = rows.where("NOT seen").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit(""), 256).alias("items_sha256"))
+    met = rows.where("seen").join(verdicts, ["s1", "s2"], "left")
+    met = met.select("doc_id", "n_words", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_hit", "n_items")), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"))
+    return blank.unionByName(met).withColumn("contaminated", F.expr(_CONTAMINATED))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+    """The documents that are not contaminated.
+
+    Each row goes by its own text, be its doc_id null or repeated; null texts and texts without words
+    stay; an empty table gives no rows and an empty benchmark drops none; columns beyond those of
+    documents are dropped.  Contaminated texts are broadcast only up to `HELD_TEXTS`, counted.
+    """
+    _, hits, _ = _judged(docs, benchmark, filter_bytes)
+    gone = cut(hits.where(_CONTAMINATED).select("s1", "s2"))
+    if gone.count() <= HELD_TEXTS:
+        gone = F.broadcast(gone)
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    return _stamped(docs, "doc_id", "lang", "source", "n_chars").join(gone, ["s1", "s2"], "left_anti").select(*columns)
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -199,22 +199,22 @@ def brute_contamination(text, items):
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)
 
 
-@pytest.mark.parametrize("held", [1 << 20, 0], ids=["held", "joined"])
-def test_contamination_matches_brute_force(spark, held):
+@pytest.mark.parametrize("filter_bytes", [1 << 20, 0], ids=["filtered", "full"])
+def test_contamination_matches_brute_force(spark, filter_bytes):
     items = [(1, prose(11, 40)), (2, prose(12, 13)), (10, "w3 w5"), (3, ""), (4, None), (5, prose(11, 40)), (6, "w9")]
     texts = [prose(13) + " " + prose(11, 40), " ".join(prose(11, 40).split()[5:18]), " ".join(prose(11, 40).split()[5:17]), prose(12, 13).upper(), "w3, W5", prose(14, 300), "", None]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    got = {r["doc_id"]: tuple(r)[1:] for r in decontaminate.find_contamination(frame(spark, texts, 20), benchmark, held).collect()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in decontaminate.find_contamination(frame(spark, texts, 20), benchmark, filter_bytes).collect()}
     assert got == {20 + i: brute_contamination(t, items) for i, t in enumerate(texts)}
-    assert all(r["n_hit"] == 0 for r in decontaminate.find_contamination(frame(spark, texts, 20), benchmark.where("item_id < 0"), held).collect())
+    assert all(r["n_hit"] == 0 for r in decontaminate.find_contamination(frame(spark, texts, 20), benchmark.where("item_id < 0"), filter_bytes).collect())
 
 
-@pytest.mark.parametrize("held", [1 << 20, 0], ids=["held", "joined"])
-def test_each_row_goes_by_its_own_verdict(spark, held):
+@pytest.mark.parametrize("filter_bytes", [1 << 20, 0], ids=["filtered", "full"])
+def test_each_row_goes_by_its_own_verdict(spark, filter_bytes):
     leaked, clean = prose(13) + " " + prose(11, 40), prose(14, 300)
     rows = [(None, leaked), (None, clean), (7, leaked), (7, clean), (8, clean), (9, None)]
     docs = spark.createDataFrame([(i, t, f"l{k}", "s", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
-    got = decontaminate.drop_contaminated(docs, spark.createDataFrame([(1, prose(11, 40))], "item_id long, text string"), held)
+    got = decontaminate.drop_contaminated(docs, spark.createDataFrame([(1, prose(11, 40))], "item_id long, text string"), filter_bytes)
     assert got.columns == docs.columns
     assert {tuple(r) for r in got.collect()} == {(i, t, f"l{k}", "s", k) for k, (i, t) in enumerate(rows) if t != leaked}
 

@@ -6,7 +6,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from folioforge.llm import blocks, lines, neardup, packing
+from folioforge.llm import blocks, decontaminate, lines, neardup, packing
+from tests.llm.test_documents import brute_contamination
 
 LEAST, MOST = -(2**63), 2**63 - 1
 DDL = "doc_id long, text string, lang string, source string, n_chars long"
@@ -132,3 +133,25 @@ def test_lines_match_brute_force(spark, beside_long):
     for (i, _), text in want.items():
         assert text in by_id[i]
     assert by_id[70] == by_id[71] == {None} and by_id[72] == {""}
+
+
+def test_a_passage_of_many_items_and_documents(spark, monkeypatch):
+    """No text or list of items travels with a document: what is scanned and joined stays small."""
+    passage = prose(20, 60)
+    items = [(k, f"{prose(1000 + k, 30)} {passage} {prose(2000 + k, 30)}") for k in range(300)] + [(7, "again the same id " + prose(21, 20)), (None, passage)]
+    texts = [(k, f"{prose(3000 + k, 20)} {passage} {prose(4000 + k, 20)}") for k in range(400)] + [(500, prose(1003, 30)), (501, items[9][1]), (502, passage), (502, "clean"), (None, passage), (503, prose(21, 20))]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    scanned, hits, members = decontaminate._judged(frame(spark, texts), benchmark, 1 << 20)
+    assert hits.count() <= len(texts) and max(len(r["classes"]) for r in hits.collect()) <= 3
+    assert members.count() < 5000
+    got = decontaminate.find_contamination(frame(spark, texts), benchmark).collect()
+    known = [(str(i) if i is not None else "", t) for i, t in items]
+    want = sorted((i if i is not None else -1, *brute_contamination(t, known)) for i, t in texts)
+    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, *tuple(r)[1:]) for r in got) == want
+
+
+def test_a_word_that_is_an_item_stands_everywhere(spark):
+    texts = [(1, "the " * 50_000), (2, "a the b"), (3, "then"), (4, "the cat sat on the mat " * 2000)]
+    items = [(1, "The"), (2, "the cat sat"), (3, "sat on the mat the")]
+    got = {r["doc_id"]: tuple(r)[1:] for r in decontaminate.find_contamination(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {i: brute_contamination(t, items) for i, t in texts}
