@@ -7,6 +7,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -22,11 +23,12 @@ SEQUENCE = 1024
 END_ID = 2
 #: Pieces that one task packs; a sequence never mixes shards, which costs about one sequence each.
 SHARD_PIECES = 200_000
-#: Bytes of known chunks that a worker holds, with their ids and about what their entries take.
-_TABLE_BYTES = 96 << 20
-_ENTRY_BYTES = 150
-#: Longer chunks, such as texts without spaces, are encoded where they stand and not held.
-_HELD_CHUNK = 64
+#: Ids of known chunks that a worker holds (4 bytes each), and slots that find them (24 bytes each); powers of two.
+_RING_IDS = 1 << 24
+_SLOTS = 1 << 22
+_SLOT_SHIFT = np.uint64(42)
+#: Chunks of more ids, such as texts without spaces, are encoded where they stand and not held.
+_HELD_IDS = 64
 #: Chunks encoded at once; the tokenizer's own records of them are far larger than their ids.
 _BATCH_CHUNKS = 4096
 
@@ -42,7 +44,9 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Token ids of whole texts, computed once for each distinct chunk.
+    """Token ids of whole texts, computed once for each distinct chunk that is still held.
+
+    Chunks are held by two hashes of their bytes that share no state, 128 bits; memory is fixed.
 
     The byte-level pre-tokenizer lets a space only begin a token, so a text can be cut before a
     space that a visible character follows, and the chunks encoded apart.  A space before a
@@ -60,44 +64,39 @@ class Encoder:
         self.tokenizer = _tokenizers[path]
         added = [re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile(b"|".join(added)) if added else None
-        #: Chunk to place and length in `flat`, the ids of the chunks that are held and, after them, of a block's long ones.
-        self.known: dict[bytes, tuple[int, int]] = {}
-        self.flat, self.used, self.held = np.empty(1 << 16, np.uint32), 0, 0
-
-    def _append(self, chunks: list[bytes], at: int) -> list[tuple[int, int]]:
-        """Encode chunks into `flat` from `at` on; their places and lengths."""
-        places = []
+        # A ring of ids, and slots that say where in it a chunk's ids are: two hashes of the chunk, place << 7 | length.
+        self.ring, self.top = np.zeros(_RING_IDS, np.uint32), _RING_IDS
+        self.first, self.second, self.packed = (np.zeros(_SLOTS, t) for t in (np.uint64, np.uint64, np.int64))
+
+    def _look_up(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Packed place of every chunk that the ring holds, else -1; the oldest quarter counts as gone, as a block may overwrite it."""
+        out = np.full(len(first), -1, np.int64)
+        for hashes in (first, second):
+            slot = hashes >> _SLOT_SHIFT
+            same = (self.first[slot] == first) & (self.second[slot] == second) & (self.packed[slot] >> 7 >= self.top - 3 * _RING_IDS // 4)
+            out[same] = self.packed[slot[same]]
+        return out
+
+    def _encode_chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks one after the other, and their numbers."""
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for low in range(0, len(chunks), _BATCH_CHUNKS):
-            some = chunks[low : low + _BATCH_CHUNKS]
-            for made in self.tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False):
-                ids = made.ids
-                if at + len(ids) > len(self.flat):
-                    self.flat = np.resize(self.flat, max(at + len(ids), 2 * len(self.flat)))
-                self.flat[at : at + len(ids)] = ids
-                places.append((at, len(ids)))
-                at += len(ids)
-        return places
-
-    def _places(self, chunks: list[bytes]) -> list[tuple[int, int]]:
-        """Place and length in `flat` of every chunk, until the next call."""
-        places = list(map(self.known.get, chunks))
-        fresh = [c for c, p in zip(chunks, places, strict=True) if p is None and len(c) <= _HELD_CHUNK]
-        if self.held + sum(map(len, fresh)) + _ENTRY_BYTES * len(fresh) > _TABLE_BYTES:
-            self.known.clear()
-            self.used = self.held = 0
-            if len(self.flat) * 4 > _TABLE_BYTES:
-                self.flat = np.empty(1 << 16, np.uint32)
-            fresh, places = [c for c in chunks if len(c) <= _HELD_CHUNK], [None] * len(chunks)
-        if fresh:
-            made = self._append(fresh, self.used)
-            self.known.update(zip(fresh, made, strict=True))
-            self.used = sum(made[-1])
-            self.held += sum(map(len, fresh)) + _ENTRY_BYTES * len(fresh)
-            places = list(map(self.known.get, chunks))
-        long = [i for i, p in enumerate(places) if p is None]
-        for i, place in zip(long, self._append([chunks[i] for i in long], self.used), strict=True):
-            places[i] = place
-        return places
+            made = self.tokenizer.encode_batch_fast([c.decode() for c in chunks[low : low + _BATCH_CHUNKS]], add_special_tokens=False)
+            lists = [m.ids for m in made]
+            sizes.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+            ids.append(np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes[-1].sum())))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _hold(self, first: np.ndarray, second: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Write new chunks to the ring and to slots, free ones first; their packed places."""
+        packed = (self.top + np.cumsum(sizes) - sizes) << 7 | sizes
+        self.ring[np.arange(self.top, self.top + len(ids)) & (_RING_IDS - 1)] = ids
+        self.top += len(ids)
+        slot, other = first >> _SLOT_SHIFT, second >> _SLOT_SHIFT
+        taken = self.packed[slot] >> 7 >= self.top - 3 * _RING_IDS // 4
+        slot, kept = np.unique(np.where(taken, other, slot), return_index=True)
+        self.first[slot], self.second[slot], self.packed[slot] = first[kept], second[kept], packed[kept]
+        return packed
 
     def _cuts(self, block: B.Block) -> np.ndarray:
         data = block.data
@@ -121,18 +120,32 @@ class Encoder:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(block.rows + 1, np.int64)
         ends = np.append(starts[1:], len(block.data))
-        raw = block.data.tobytes()
-        _, first, which = np.unique(B.range_hashes(block.data, starts, ends), return_index=True, return_inverse=True)
-        if not B.same_ranges(block.data, starts, ends, first[which]):  # equal hashes of unequal chunks: go by the chunks
+        hashes = B.range_hashes(block.data, starts, ends)
+        _, at, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if not B.same_ranges(block.data, starts, ends, at[which]):  # equal hashes of unequal chunks: go by the chunks
+            chunks = [block.data[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
             seen: dict[bytes, int] = {}
-            which = np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
-            _, first = np.unique(which, return_index=True)
-        chunks = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        begin, sizes = np.array(self._places(chunks), np.int64).T
-        lengths = sizes[which]
+            which = np.array([seen.setdefault(c, len(seen)) for c in chunks])
+            _, at = np.unique(which, return_index=True)
+        first, second = hashes[at], B.range_hashes(block.data, starts[at], ends[at], B.OTHER_SEED)
+        packed = self._look_up(first, second)
+        new = np.flatnonzero(packed < 0)
+        ids, sizes = self._encode_chunks([block.data[a:b].tobytes() for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)])
+        held = sizes <= _HELD_IDS
+        held &= np.cumsum(sizes * held) <= _RING_IDS // 4
+        packed[new[held]] = self._hold(first[new[held]], second[new[held]], ids[np.repeat(held, sizes)], sizes[held])
+        begin, counts = packed >> 7, packed & 127
+        begin[new[~held]], counts[new[~held]] = (np.cumsum(sizes) - sizes)[~held], sizes[~held]
+        lengths = counts[which]
         ends_at = np.cumsum(lengths)
-        ids = self.flat[np.repeat(begin[which] - (ends_at - lengths), lengths) + np.arange(ends_at[-1])]
-        return ids, np.concatenate([[0], ends_at])[np.searchsorted(starts, block.offsets)]
+        source = np.repeat(begin[which] - (ends_at - lengths), lengths) + np.arange(ends_at[-1])
+        out = self.ring[source & (_RING_IDS - 1)]
+        if not held.all():
+            fresh = np.zeros(len(at), bool)
+            fresh[new[~held]] = True
+            own = np.repeat(fresh[which], lengths)
+            out[own] = ids[source[own]]
+        return out, np.concatenate([[0], ends_at])[np.searchsorted(starts, block.offsets)]
 
 
 @lru_cache(maxsize=2)

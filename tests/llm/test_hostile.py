@@ -155,3 +155,18 @@ def test_a_word_that_is_an_item_stands_everywhere(spark):
     items = [(1, "The"), (2, "the cat sat"), (3, "sat on the mat the")]
     got = {r["doc_id"]: tuple(r)[1:] for r in decontaminate.find_contamination(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == {i: brute_contamination(t, items) for i, t in texts}
+
+
+def test_encoder_forgets_and_stays_right(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "_RING_IDS", 1 << 9)
+    monkeypatch.setattr(packing, "_SLOTS", 1 << 4)
+    monkeypatch.setattr(packing, "_SLOT_SHIFT", np.uint64(60))
+    encoder, plain = packing.Encoder(packing.default_tokenizer()), Tokenizer.from_file(packing.default_tokenizer())
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        texts = [" ".join(rng.choice(["to", "tothe", "éa", "日本", "x" * 300, "q1", "<|endoftext|>", "", "\\n"], rng.integers(0, 60))) for _ in range(8)]
+        block = next(blocks.text_blocks(pa.array(texts)))
+        ids, bounds = encoder.encode(block)
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
