@@ -14,6 +14,7 @@ import io
 import re
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import quote
@@ -71,6 +72,8 @@ def build_record(page_id: int | None, url: str | None, payload: bytes, refers_to
     lines += [f"WARC-Payload-Digest: {digest}", f"WARC-Block-Digest: {_sha1(block)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     if page_id is not None:
         lines.insert(3, f"X-Page: {page_id}")
+    if url is None:
+        lines.append("X-Target-URI: none")
     return "\r\n".join([*lines, "", ""]).encode() + block + b"\r\n\r\n"
 
 
@@ -91,10 +94,10 @@ def _open(folder: str) -> tuple[fs.FileSystem, str]:
 class _File:
     """A file under its temporary name; the first record names the final one."""
 
-    def __init__(self, folder: str, final: str, layout: Layout):
+    def __init__(self, folder: str, attempt: str, final: str, layout: Layout):
         self.store, root = _open(folder)
-        self.temporary, self.final = f"_temporary/{final}.{uuid.uuid4().hex}", final
-        self.store.create_dir(f"{root}/_temporary", recursive=True)
+        self.temporary, self.final = f"_temporary/{attempt}/{final}.{uuid.uuid4().hex}", final
+        self.store.create_dir(f"{root}/_temporary/{attempt}", recursive=True)
         self.out = self.store.open_output_stream(f"{root}/{self.temporary}", compression=None)
         self.sha, self.size, self.records, self.level = hashlib.sha1(usedforsecurity=False), 0, 0, layout.level
         self.add(info_record(final, layout))
@@ -111,7 +114,7 @@ class _File:
         return self.temporary, self.final, self.records, self.size, self.sha.hexdigest()
 
 
-def _write(folder: str, layout: Layout):
+def _write(folder: str, attempt: str, layout: Layout):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple] = []
         file, now, roll, refers = None, None, 0, {}
@@ -122,7 +125,7 @@ def _write(folder: str, layout: Layout):
                     if file:
                         done.append(file.close())
                     roll = roll + 1 if shard == now else 0
-                    now, file = shard, _File(folder, f"part-{shard:06d}-{roll:05d}.warc.gz", layout)
+                    now, file = shard, _File(folder, attempt, f"part-{shard:06d}-{roll:05d}.warc.gz", layout)
                 if page_id != page:
                     page, refers = page_id, {}
                 if kind:
@@ -151,74 +154,88 @@ def _commit(folder: str):
     return run
 
 
-def _shard_bounds(sized: DataFrame, layout: Layout, buckets: int = 4096) -> list[int]:
-    """First page_ids of the shards after the first, from exact byte sums over equal slices of the ids.
+def _shard_bounds(sized: DataFrame, layout: Layout, buckets: int = 4096) -> list[tuple[int, int]]:
+    """First (page_id, salt) of the shards after the first, from exact byte sums over equal slices of the ids.
 
-    A slice that is too large for a shard is sliced again, so clustered ids are split as well; at most
-    `buckets` sums a round come to the driver.
+    Slices are powers of two wide, so no difference of ids is ever formed.  A slice that is too large for
+    a shard is sliced again, and an id that is too large by the salt of its rows, so clustered ids and
+    rows that share one are split as well; at most `buckets` sums a round come to the driver.
     """
     low, high, total = sized.agg(F.min("page_id"), F.max("page_id"), F.sum("size")).first()
-    cuts: list[int] = []
-    todo = [(low, high, total)] if low is not None and (total or 0) > layout.shard_bytes else []
+    cuts: list[tuple[int, int]] = []
+    todo = [(low, high)] if low is not None and (total or 0) > layout.shard_bytes else []
     while todo:
-        low, high, _ = todo.pop()
-        width = (high - low) // buckets + 1
-        cell = F.floor((F.col("page_id") - low) / width)
-        sums = sized.where(F.col("page_id").between(low, high)).groupBy(cell.alias("cell")).agg(F.sum("size").alias("size")).orderBy("cell").collect()
+        low, high = todo.pop()
+        shift = 0
+        while (high >> shift) - (low >> shift) >= buckets:
+            shift += 1
+        by_salt = low == high
+        cell = F.col("salt") if by_salt else F.shiftright("page_id", shift)
+        sums = sized.where(F.col("page_id").between(low, high)).groupBy(cell.cast("long").alias("cell")).agg(F.sum("size").alias("size")).orderBy("cell").collect()
         held = 0
         for row in sums:
-            begin = low + row["cell"] * width
+            first = (low, row["cell"]) if by_salt else (max(low, row["cell"] << shift), 0)
             if held and held + row["size"] > layout.shard_bytes:
-                cuts.append(begin)
+                cuts.append(first)
                 held = 0
             held += row["size"]
-            if row["size"] > layout.shard_bytes and width > 1:
-                todo.append((begin, min(begin + width - 1, high), row["size"]))
+            if row["size"] > layout.shard_bytes and not by_salt:
+                todo.append((first[0], min(((row["cell"] + 1) << shift) - 1, high)))
     return sorted(set(cuts))
 
 
+#: Salts that rows of one page_id are told apart by.
+SALTS = 1024
+
+
 def write_warc(pages: DataFrame, folder: str, layout: Layout = Layout()) -> DataFrame:
     """Write `pages` (`page_id`, `url`, `html`) to WARC files in `folder`; returns the manifest, one row a file.
 
     Of rows with equal payloads (html in UTF-8; null is empty) of at least `layout.revisit_bytes`, that
     with the largest page_id is a response and the others are revisits of it; smaller ones are all
     responses.  Rows that share the largest page_id are all responses; a null page_id counts as the
-    least and is a response.  An empty table gives no files.  The same rows give the same files,
-    whatever their order and partitions, and a repeated task writes other temporary names.
+    least and is a response.  Ids may be any longs; a null url is marked and read as null again.  An
+    empty table gives no files; other columns are dropped.  A payload of any length is one record, so
+    memory follows the longest one.  The same rows give the same files, whatever their order and
+    partitions, and a repeated task writes other temporary names, which go with the commit.
     """
     spark = pages.sparkSession
-    frame = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    sized = frame.select("page_id", F.coalesce(F.octet_length("html"), F.lit(0)).alias("size"), F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("digest"))
+    salt = F.pmod(F.xxhash64("url", "html"), F.lit(SALTS)).cast("int")
+    frame = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", salt.alias("salt"))
+    sized = frame.select("page_id", "salt", F.coalesce(F.octet_length("html"), F.lit(0)).alias("size"), F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("digest"))
     sized = cut(sized)
-    bounds = _shard_bounds(sized.select("page_id", (F.col("size") + 400).alias("size")), layout)
+    bounds = _shard_bounds(sized.select("page_id", "salt", (F.col("size") + 400).alias("size")), layout)
     large = sized.where(f"size >= {layout.revisit_bytes} AND page_id IS NOT NULL")
     last = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).where("least < refers_to").select("digest", "refers_to")
-    marks = large.join(last, "digest").where("page_id < refers_to").select("page_id", "refers_to", "digest").distinct()
+    marks = large.join(last, "digest").where("page_id < refers_to").select("page_id", "salt", "refers_to", "digest").distinct()
     nothing = F.lit(None).cast("string")
-    events = frame.select("page_id", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("refers_to"), nothing.alias("digest"), "url", "html").unionByName(
-        marks.select("page_id", F.lit(0).alias("kind"), "refers_to", "digest", nothing.alias("url"), nothing.alias("html"))
+    events = frame.select("page_id", "salt", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("refers_to"), nothing.alias("digest"), "url", "html").unionByName(
+        marks.select("page_id", "salt", F.lit(0).alias("kind"), "refers_to", "digest", nothing.alias("url"), nothing.alias("html"))
     )
     dealt = events.mapInArrow(_to_shards(bounds), f"{_EVENT}, shard int")
-    count = max(len(bounds) + 1, 1)
-    ordered = dealt.repartition(count, "shard").sortWithinPartitions("shard", "page_id", "kind", "url", "html")
-    manifest = cut(ordered.mapInArrow(_write(folder, layout), _MANIFEST))
-    committed = cut(manifest.repartition(max(1, min(count, 64)), "final").mapInArrow(_commit(folder), _MANIFEST)).drop("temporary")
-    committed.coalesce(1).write.mode("overwrite").json(f"{folder.rstrip('/')}/_manifest")
+    ordered = dealt.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "page_id", "salt", "kind", "url", "html")
+    attempt = uuid.uuid4().hex
+    manifest = cut(ordered.mapInArrow(_write(folder, attempt, layout), _MANIFEST))
+    files = manifest.count()
+    cut(manifest.repartition(-(-files // _MOVES) or 1, "final").mapInArrow(_commit(folder), _MANIFEST))
+    manifest.drop("temporary").coalesce(1).write.mode("overwrite").json(f"{folder.rstrip('/')}/_manifest")
+    store, root = _open(folder)
+    if store.get_file_info(f"{root}/_temporary/{attempt}").type == fs.FileType.Directory:
+        store.delete_dir(f"{root}/_temporary/{attempt}")
     return spark.read.schema("final string, records long, bytes long, sha1 string").json(f"{folder.rstrip('/')}/_manifest")
 
 
-_EVENT = "page_id long, kind int, refers_to long, digest string, url string, html string"
+#: Files that a task of the commit moves.
+_MOVES = 64
+_EVENT = "page_id long, salt int, kind int, refers_to long, digest string, url string, html string"
 
 
-def _to_shards(bounds: list[int]):
-    import numpy as np
-
+def _to_shards(bounds: list[tuple[int, int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = np.array(bounds, np.int64)
         for batch in batches:
-            ids = batch.column("page_id")
-            shard = np.where(ids.is_valid(), np.searchsorted(edges, ids.fill_null(0), "right"), 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard.astype(np.int32))], [*batch.schema.names, "shard"])
+            ids, salts = batch.column("page_id").to_pylist(), batch.column("salt").to_pylist()
+            shard = [0 if i is None else bisect_right(bounds, (i, s)) for i, s in zip(ids, salts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard, pa.int32())], [*batch.schema.names, "shard"])
 
     return run
 
@@ -265,7 +282,7 @@ def _read(folder: str, payloads: bool):
                         whole = head["warc-type"] == "revisit" or len(payload) == number and hashlib.sha1(payload, usedforsecurity=False).hexdigest() == digest
                         sound = whole and _sha1(block) == head["warc-block-digest"]
                         page, refers = head.get("x-page"), head.get("x-refers-to-page")
-                        rows.append((page and int(page), unquote(head["warc-target-uri"]), head["warc-type"], refers and int(refers), number, digest, payload if payloads else None, sound))
+                        rows.append((page and int(page), None if "x-target-uri" in head else unquote(head["warc-target-uri"]), head["warc-type"], refers and int(refers), number, digest, payload if payloads else None, sound))
                         size += len(payload) * payloads + 200
                         if size > 8 << 20:
                             yield full()
@@ -276,18 +293,38 @@ def _read(folder: str, payloads: bool):
     return run
 
 
+#: Compressed bytes that a task reads, where there are more than cores.
+READ_BYTES = 128 << 20
+
+
 def read_warc(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """Records of the files that a manifest lists, streamed file by file: page_id, url, record_type, refers_to,
     payload_bytes, payload_digest (bare hex SHA-1), payload (null without `payloads`; empty in revisits)
-    and sound (lengths and digests agree).  Files without a place in the manifest are not read.
+    and sound (lengths and digests agree; see `check_revisits`).  Files without a place in the manifest are not read.
+
+    Files are dealt one by one to as many tasks as their bytes ask for, and at least one a core.
     """
-    return manifest.select("final").repartition("final").mapInArrow(_read(folder, payloads), _READ)
+    spark = manifest.sparkSession
+    files, size = manifest.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    tasks = max(1, min(files, max(spark.sparkContext.defaultParallelism, -(-size // READ_BYTES))))
+    numbered = manifest.select("final").coalesce(1).withColumn("at", (F.monotonically_increasing_id() % tasks).cast("int"))
+    return numbered.repartitionById(tasks, F.col("at")).select("final").mapInArrow(_read(folder, payloads), _READ)
+
+
+def check_revisits(records: DataFrame) -> DataFrame:
+    """Records without their payloads; a revisit is sound only if the page it refers to has a sound response of its digest and length."""
+    records = cut(records.drop("payload"))
+    responses = records.where("record_type = 'response' AND sound").select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes", F.lit(True).alias("found")).distinct()
+    revisits = records.where("record_type = 'revisit'").join(responses, ["refers_to", "payload_digest", "payload_bytes"], "left")
+    revisits = revisits.withColumn("sound", F.col("sound") & F.coalesce("found", F.lit(False))).select(*records.columns)
+    return records.where("record_type <> 'revisit'").unionByName(revisits)
 
 
 def op4_warc(spark, sf_dir: str) -> DataFrame:
     folder = fresh_path(spark, "warc")
     manifest = write_warc(table(spark, f"{sf_dir}/pages.parquet"), folder)
-    return read_warc(manifest, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "sound")
+    records = check_revisits(read_warc(manifest, folder, payloads=False))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "sound")
 
 
 SQL = """

@@ -77,6 +77,27 @@ def test_conversations_round_trip(spark):
     assert chat.digest_examples(chat.format_conversations(turns.where("conv_id > 9"))).collect() == []
 
 
+def test_warc_hard_ids_urls_and_folder(spark, tmp_path):
+    big = "<p>" + "z" * 2000
+    least, most = -(2**63), 2**63 - 1
+    rows = [(least, "http://a", big), (most, None, big), (0, "", "x"), (-1, None, None), (most - 1, "http://b", big), (None, None, big)]
+    rows += [(77, f"http://c/{k}", f"{k}" * 3000) for k in range(60)] + [(77, "http://same", "s" * 3000)] * 9
+    folder = str(tmp_path / "hard")
+    manifest = warc.write_warc(pages(spark, rows), folder, warc.Layout(shard_bytes=20_000, file_bytes=50_000))
+    got = warc.read_warc(manifest, folder).collect()
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(((r["page_id"], r["url"], len(r["payload"])) for r in got), key=key) == sorted(((i, u, len(h or "") if i not in (least, most - 1) else 0) for i, u, h in rows), key=key)
+    assert {r["page_id"]: r["refers_to"] for r in got if r["record_type"] == "revisit"} == {least: most, most - 1: most}
+    assert len({r["final"][:11] for r in manifest.collect()}) > 8  # one id's rows are spread over shards
+    assert not list((tmp_path / "hard" / "_temporary").iterdir())
+
+
+def test_warc_revisits_are_held_against_their_response(spark):
+    rows = [(1, "response", None, 5, "d1", True), (2, "revisit", 1, 5, "d1", True), (3, "revisit", 1, 5, "d2", True), (4, "revisit", 9, 5, "d1", True), (5, "response", None, 5, "d5", False), (6, "revisit", 5, 5, "d5", True), (7, "revisit", 1, 6, "d1", True)]
+    records = spark.createDataFrame([(*r, None) for r in rows], "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, sound boolean, payload binary")
+    assert {r["page_id"]: r["sound"] for r in warc.check_revisits(records).collect()} == {1: True, 2: True, 3: False, 4: False, 5: False, 6: False, 7: False}
+
+
 PAGE = (
     '<html><head><title>T</title></head><body><header><h1>Site</h1></header><nav><ul><li>Menu</li></ul></nav><div class="cookie-notice">Cookies</div><div class="{c}"><h1>Head &amp; more</h1><p>One <b>two</b>\n three &lt;x&gt;.'
     "<p>Four<br>five<ul><li>six<li>seven</ul><form><p>sign</form><div class='comments'><p>Nice words from readers of this page</div></div><div class='sidebar'>side</div><aside>note</aside><footer>foot</footer><script>var a='</p>'</script></body></html>"
