@@ -1,6 +1,10 @@
 """Operators over pages and conversations."""
 
 import hashlib
+import re
+import time
+
+import numpy as np
 
 from folioforge.llm import chat, html, urls, warc
 
@@ -144,4 +148,106 @@ def test_html_keeps_what_stands_beside_the_body(spark):
     got = {r["page_id"]: r["text"] for r in html.extract_text(pages(spark, rows)).collect()}
     assert [got[100 * i + k] for i in range(len(cases)) for k in range(2)] == [text for _, text in cases for _ in range(2)]
     many = "<body>" + "".join(f"<div class=b><p>text {k}</p></div>" for k in range(20_000)) + "</body>"
-    assert len(html.text_at(*html.read_page(many), "/body/div.b")) > 200_000
+    page = html.read_page(many)
+    assert len(html.text_at(page, page.containers[2].path)) > 200_000
+
+
+class Tree:
+    """An element of a made page: tag, class, id, and what is in it, elements or one text."""
+
+    def __init__(self, tag, inside, label="", ident=""):
+        self.tag, self.inside, self.label, self.ident = tag, inside, label, ident
+
+    def html(self):
+        body = self.inside if isinstance(self.inside, str) else "".join(x.html() for x in self.inside)
+        return f"<{self.tag}{f' class={chr(34)}{self.label}{chr(34)}' if self.label else ''}{f' id={self.ident}' if self.ident else ''}>{body}</{self.tag}>"
+
+    def texts(self, link=False):
+        link = link or self.tag == "a"
+        if isinstance(self.inside, str):
+            return [(self.inside, link)]
+        return [t for x in self.inside for t in x.texts(link)]
+
+
+def made_page(rng):
+    words = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 500, n))
+    para = lambda n: Tree("p", words(n))
+    links = lambda n: [Tree("li", [Tree("a", words(3))]) for _ in range(n)]
+    box = Tree("div", [para(int(rng.integers(3, 30)))], f"box-{rng.integers(0, 9)}", "comments" if rng.random() < 0.5 else "")
+    more = Tree("div", [Tree("ul", links(int(rng.integers(0, 6)))), para(int(rng.integers(1, 12)))], f"more{rng.integers(0, 9)}")
+    article = Tree("article", [Tree("h1", words(4)), Tree("div", [para(int(rng.integers(60, 90))) for _ in range(3)], "body"), box, Tree("ul", links(2), "refs")])
+    return Tree("html", [Tree("body", [Tree("nav", [Tree("ul", links(5))]), para(3), more, article, Tree("footer", [para(5)])])])
+
+
+def brute_texts(trees, vote):
+    """Texts of one host's pages, by recursion over the trees."""
+    scored, sums = [], {}
+    for tree in trees:
+        whole = sum(len(t) for t, link in tree.texts() if not link)
+        own = {}
+
+        def score(node, path, inside, own=own, whole=whole):
+            if node.tag in ("p", "h1", "li", "a"):
+                return
+            path, inside = (*path, (node.tag, re.sub("[0-9]+", "N", node.label))), inside or node.tag == "article"
+            size, plain = sum(len(t) for t, _ in node.texts()), sum(len(t) for t, link in node.texts() if not link)
+            if size:
+                linked = 1000 * (size - plain) // size
+                against = node.tag in ("nav", "footer") or node.ident == "comments"
+                menu = linked > 500 and not inside and node.tag not in ("ul", "html", "body")
+                own[id(node)] = (path, 1000 * plain // whole - linked * menu - 2000 * against + 500 * (node.tag == "article"))
+                kept, gone, total = sums.get(path, (0, 0, 0))
+                bad = own[id(node)][1] < 0
+                sums[path] = (kept + (not bad), gone + bad, total + own[id(node)][1])
+            for x in node.inside:
+                score(x, path, inside)
+
+        score(tree, (), False)
+        scored.append(own)
+
+    def walk(node, own, place, out):
+        path, value = own.get(id(node), (None, 0))
+        kept, gone, total = sums.get(path, (0, 0, 0))
+        if (total if vote and kept and gone else value) < 0 and node.tag not in ("html", "body"):
+            return
+        if node.tag in ("p", "h1", "li"):
+            if place != "aside":
+                out.append(" ".join(t for t, _ in node.texts()))
+            return
+        place = "article" if node.tag == "article" else place if place or node.tag in ("html", "body") else "aside"
+        for x in node.inside:
+            walk(x, own, place, out)
+
+    texts = []
+    for tree, own in zip(trees, scored, strict=True):
+        out = []
+        walk(tree, own, "", out)
+        texts.append("\n\n".join(out))
+    return texts
+
+
+def test_html_matches_a_plain_walk_with_and_without_votes(spark):
+    rng = np.random.default_rng(8)
+    hosts = [[made_page(rng) for _ in range(9)] for _ in range(6)]
+    rows = [(100 * h + k, f"http://h{h}.net/{k}", tree.html()) for h, trees in enumerate(hosts) for k, tree in enumerate(trees)]
+    found = {}
+    for vote in (True, False):
+        found[vote] = {r["page_id"]: r["text"] for r in html.extract_text(pages(spark, rows), vote=vote).collect()}
+        want = {100 * h + k: text for h, trees in enumerate(hosts) for k, text in enumerate(brute_texts(trees, vote))}
+        assert found[vote] == want
+    changed = [k for k in want if found[True][k] != found[False][k]]
+    assert len(changed) > 10  # the votes matter: a host's pages go by one rule
+    for h, trees in enumerate(hosts):
+        boxes = {trees[k].inside[0].inside[3].inside[2].texts()[0][0] in found[True][100 * h + k] for k in range(9)}
+        assert len(boxes) == 1
+
+
+def test_html_of_deep_and_broken_pages_is_linear(spark):
+    deep = "".join(f"<div class=c{k}>t{k} <b>" for k in range(20_000))
+    lists = "<ul>" + "".join(f"<li><span>i{k}" for k in range(20_000))
+    ends = "<div>" * 5000 + "x" + "</p></b></span>" * 20_000
+    rows = [(1, "http://d/1", deep), (2, "http://d/2", lists), (3, "http://d/3", ends)]
+    began = time.perf_counter()
+    got = {r["page_id"]: r["text"] for r in html.extract_text(pages(spark, rows)).collect()}
+    assert time.perf_counter() - began < 30
+    assert got[1].split()[::5000] == ["t0", "t5000", "t10000", "t15000"] and got[2].count("i") == 20_000 and got[3] == "x"
