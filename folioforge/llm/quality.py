@@ -182,7 +182,8 @@ def judge_documents(docs: DataFrame, rules: LineRules = LineRules(), carry: tupl
     (few words, repeated five-word windows).
 
     A null text counts as empty and is rejected; a null doc_id stays null; repeated rows
-    are judged row by row; an empty table gives no rows.  Other columns are dropped, save
+    are judged row by row; an empty table gives no rows.  A text of any length is read whole; memory
+    follows the longest text.  Other columns are dropped, save
     those in `carry`, whose names must differ from the result's.  No shuffle.
     """
     extra = [f"_carry_{c}" for c in carry]
@@ -195,7 +196,10 @@ def judge_documents(docs: DataFrame, rules: LineRules = LineRules(), carry: tupl
 
 
 def filter_documents(docs: DataFrame, rules: LineRules = STAGE) -> DataFrame:
-    """The documents that pass, whatever script they are in, with their clean text and the columns doc_id, text, lang, source, n_chars."""
+    """The documents that pass, whatever script they are in, with their clean text and the columns doc_id, text, lang, source, n_chars.
+
+    Null and empty texts fail; null and repeated ids and repeated rows are judged row by row; an empty table gives no rows.
+    """
     judged = judge_documents(docs, rules, carry=("lang", "source")).where("kept")
     return judged.select("doc_id", F.col("clean_text").alias("text"), "lang", "source", F.length("clean_text").cast("long").alias("n_chars"))
 

@@ -11,10 +11,12 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`; a temporary one only where the session names none."""
+    """The folder of `spark.checkpoint.dir`.  Where the session names none, a local master gets a temporary one; on a cluster that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = f"file://{tempfile.mkdtemp(prefix='folioforge-')}"
@@ -27,7 +29,16 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that `fresh_path` named."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(frame: DataFrame) -> DataFrame:
-    """The same rows, kept in the shared folder: a lost executor costs a read, not the lineage."""
+    """The same rows, kept in the shared folder: a lost executor costs a read, not the lineage.
+
+    Spark removes the files of frames that are gone if spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
     shared_folder(frame.sparkSession)
     return frame.checkpoint()

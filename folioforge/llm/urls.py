@@ -121,7 +121,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", range
     nested domains.  The place in a range counts path and row as well, so a host with any share of the
     rows is split over ranges.  A null url, or one without `://`, has an empty host and path; a null
     page_id stays null; repeated rows are judged each; rules with a null or empty host are ignored, a
-    null path counts as `/`; empty tables give no rows, or defaults; other columns are dropped.
+    null path counts as `/`; a url of any length is judged whole; empty tables give no rows, or defaults;
+    other columns are dropped.
     """
     spark = pages.sparkSession
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.hex(F.xxhash64("page_id", "url")).alias("salt"))

@@ -6,8 +6,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from folioforge.llm import blocks, decontaminate, lines, neardup, packing
-from tests.llm.test_documents import brute_contamination
+import corpus_pipeline
+from folioforge.llm import blocks, decontaminate, lines, neardup, packing, quality, staging
+from tests.llm.test_documents import brute_contamination, shingles
 
 LEAST, MOST = -(2**63), 2**63 - 1
 DDL = "doc_id long, text string, lang string, source string, n_chars long"
@@ -97,6 +98,47 @@ def test_a_row_goes_without_its_namesake(spark):
     assert kept == {rows[0], *rows[2:]}
 
 
+def plain_quality(text):
+    """The clean text, or None for a rejected one, rule by rule; for ASCII texts."""
+    if text is None:
+        return None
+    w = text.split()
+    runs = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+    repeated = {j for k, run in enumerate(runs) if runs.count(run) > 1 for j in range(k, k + 5)}
+    if len(w) < 10 or 100 * len(repeated) > 20 * len(w):
+        return None
+    kept = []
+    for line in text.split("\n"):
+        v, n = line.split(), len(line.split())
+        marks = sum(x in quality.NAVIGATION_MARKS for x in v)
+        bad = marks >= 3 and 5 * marks >= n
+        bad |= n > 2 and 10 * len(re.findall(r"[#*$%&|<>]", line)) >= 3 * n
+        bad |= n > 2 and 10 * sum(x.endswith("!!") for x in v) >= 3 * n
+        bad |= n >= 8 and not any(re.search(r"[.!?:;][\"')\]}*_]*$", x) for x in v)
+        bad |= any(phrase in line.lower() for phrase in quality.BOILERPLATE)
+        if not (n and bad):
+            kept.append(line)
+    return "\n".join(kept) if 2 * sum(len(x.split()) for x in kept) >= len(w) else None
+
+
+def plain_pipeline(rows, items):
+    """(doc_id, text) of what the first four stages keep, each stage by itself in plain Python; ids of rows may repeat."""
+    docs = [(i, plain_quality(t)) for i, t in rows]
+    docs = [(i, t) for i, t in docs if t is not None]
+    left = brute_lines(docs, True)
+    docs = [(i, left[i, t]) for i, t in docs if left[i, t] == t or left[i, t].strip()]
+    sets = [shingles(t) for _, t in docs]
+    group = list(range(len(docs)))
+    for a in range(len(docs)):
+        for b in range(a):
+            common = len(sets[a] & sets[b])
+            if None not in (docs[a][0], docs[b][0]) and common and 100 * common >= 80 * (len(sets[a]) + len(sets[b]) - common):
+                group = [group[b] if g == group[a] else g for g in group]
+    least = {g: min(docs[k][0] for k in range(len(docs)) if group[k] == g and docs[k][0] is not None) for g in group if docs[g][0] is not None}
+    docs = [d for d, g in zip(docs, group) if d[0] is None or d[0] == least[g]]
+    return [(i, t) for i, t in docs if not brute_contamination(t, items)[4]]
+
+
 def brute_lines(rows, beside_long):
     """(doc_id, text) to the text left, window by window, over distinct documents in their order."""
     stamp = {}
@@ -170,3 +212,68 @@ def test_encoder_forgets_and_stays_right(monkeypatch):
         block = next(blocks.text_blocks(pa.array(texts)))
         ids, bounds = encoder.encode(block)
         assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def write_tables(spark, folder, rows, items):
+    frame(spark, rows).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def stages(spark, folder):
+    docs, seen = spark.read.parquet(f"{folder}/documents.parquet"), []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        seen.append(docs.select("doc_id", "text"))
+    return seen
+
+
+def test_pipeline_matches_plain_stages(spark, tmp_path):
+    rng = np.random.default_rng(17)
+    say = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 900, n)) + "."
+    shared = [say(12) for _ in range(5)]
+    items = [(k, say(40)) for k in range(4)] + [(9, None), (None, "")]
+    rows = []
+    for k in range(40):
+        body = [say(int(rng.integers(9, 30))) for _ in range(int(rng.integers(2, 9)))]
+        extra = rng.random()
+        if extra < 0.2:
+            body[1:1] = shared[:3]
+        elif extra < 0.35:
+            body.append("home | about | news | contact")
+        elif extra < 0.5:
+            body.append(items[k % 4][1])
+        elif extra < 0.6:
+            body = [body[0]] * 6
+        elif extra < 0.75 and rows:
+            body = (rows[int(rng.integers(0, len(rows)))][1] or "").replace("w7", "w8").split("\n")
+        rows.append((k, "\n".join(body)))
+    long = say(300)
+    rows += [(50, long), (51, long[:-1] + " more."), (50, say(40)), (None, long), (None, say(30)), (52, None), (53, ""), (3, rows[3][1]), (54, rows[5][1])]
+    write_tables(spark, tmp_path, rows, items)
+    want = sorted(((i is not None, i or 0), t) for i, t in plain_pipeline(rows, items))
+    got = [r for r in stages(spark, str(tmp_path))[-1].collect()]
+    assert sorted(((r["doc_id"] is not None, r["doc_id"] or 0), r["text"]) for r in got) == want
+    packed = corpus_pipeline.run(spark, str(tmp_path)).where("piece = 0").collect()
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in packed) == [w[0] for w in want]
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    write_tables(spark, tmp_path / "a", [], [(1, "a b c")])
+    assert [x.count() for x in stages(spark, str(tmp_path / "a"))] == [0] * 4
+    assert corpus_pipeline.run(spark, str(tmp_path / "a")).collect() == []
+    write_tables(spark, tmp_path / "b", [(1, prose(1, 40) + "."), (2, None)], [])
+    assert [x.count() for x in stages(spark, str(tmp_path / "b"))] == [1] * 4
+
+
+def test_a_cluster_must_name_its_folder():
+    class Session:
+        conf = {}
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+    with pytest.raises(ValueError, match=r"checkpoint\.dir"):
+        staging.shared_folder(Session())
+    Session.conf["spark.checkpoint.dir"] = "hdfs://shared/checkpoints"
+    assert staging.shared_folder(Session()) == "hdfs://shared/checkpoints"
