@@ -59,8 +59,14 @@ class Words(NamedTuple):
     bounds: np.ndarray
 
 
-def text_blocks(column: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
+#: What a worker keeps from task to task.  Workers outlive stages, so other work lets go of it.
+kept: list = []
+
+
+def text_blocks(column: pa.Array, block_bytes: int = BLOCK_BYTES, keep: bool = False) -> Iterator[Block]:
     """Cut a string column into blocks of whole rows; null counts as empty."""
+    if not keep:
+        kept.clear()
     column = column.cast(pa.large_string()).fill_null("")
     if not len(column):
         return

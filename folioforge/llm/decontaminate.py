@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm import blocks as B
-from folioforge.llm.staging import cut
+from folioforge.llm.staging import bound_batches, cut
 from folioforge.sources.files import table
 
 _U = np.uint64
@@ -162,6 +162,7 @@ def _judged(docs: DataFrame, benchmark: DataFrame, filter_bytes: int) -> tuple[D
     text meets few classes however many items and windows it hits.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").where("text IS NOT NULL")
     codes = cut(items.mapInArrow(_item_codes, "item string, code long, size int").distinct())
     counts = dict(codes.groupBy("size").count().collect())  # fingerprints and at most SPAN sizes

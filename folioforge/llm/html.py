@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.staging import cut
+from folioforge.llm.staging import bound_batches, cut
 from folioforge.llm.urls import host_of
 from folioforge.sources.files import table
 
@@ -413,6 +413,7 @@ def extract_text(pages: DataFrame, held_bytes: int = 32 << 20, vote: bool = True
     the longest page.  Hosts' decisions, one short row a host, are broadcast only if they measure up to
     `held_bytes`; else they are joined, by a join that Spark can split at a hot host.
     """
+    bound_batches(pages.sparkSession)
     frame = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
     if not vote:
         nothing = [F.lit(None).cast(t).alias(c) for c, t in (("path", "long"), ("dropped", "array<long>"), ("spared", "array<long>"))]

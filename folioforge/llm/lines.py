@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm import blocks as B
+from folioforge.llm.staging import bound_batches
 from folioforge.sources.files import table
 
 WINDOW = 3
@@ -106,6 +107,7 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WO
     rows.  A text of any length is read in one piece: memory follows the longest text.  The windows are pre-aggregated before their shuffle,
     and hot windows meet their first occurrence in a join that Spark can split.
     """
+    bound_batches(docs.sparkSession)
     extra = [f"_carry_{c}" for c in carry]
     frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("stamp"), *(F.col(c).alias(e) for c, e in zip(carry, extra, strict=True)))
     found = frame.select("doc_id", "stamp", "text").mapInArrow(_windows(window, long_words, beside_long), _WINDOWS)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from folioforge.llm import blocks as B
 from folioforge.llm.components import connected_components
-from folioforge.llm.staging import cut
+from folioforge.llm.staging import bound_batches, cut
 from folioforge.sources.files import table
 
 _U = np.uint64
@@ -172,22 +172,24 @@ def _alive(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _labelled(docs: DataFrame, shape: Tensoring) -> DataFrame:
     """For each row of `docs` (`doc_id`, `text`): doc_id, stamp of the text, n_shingles, component_id."""
+    bound_batches(docs.sparkSession)
     frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("stamp"))
     signed = cut(frame.mapInArrow(_signatures(shape), f"doc_id long, stamp long, {_SET_DDL}, keys array<long>"))
     # A class is a set, whatever the ids of its rows; its number is any that no other class has.
     named = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*_SET).agg(F.min("doc_id").alias("class_id"), F.first("keys").alias("keys"))
     classes = cut(named.withColumn("id", F.monotonically_increasing_id()))
     sizes = classes.select("id", "n_shingles")
-    bucketed = classes.select("id", F.explode("keys").alias("key"))
-    hubs = bucketed.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("members")).where("members > 1").select("key", "hub")
-    members = cut(bucketed.join(hubs, "key"))
+    # The hub of a bucket is its class of the least doc_id: buckets of one group then mostly have the same one.
+    bucketed = classes.select("id", "class_id", F.explode("keys").alias("key"))
+    hubs = bucketed.groupBy("key").agg(F.min(F.struct("class_id", "id")).alias("hub"), F.count("*").alias("members")).where("members > 1").select("key", F.col("hub.id").alias("hub"))
+    members = cut(bucketed.select("id", "key").join(hubs, "key"))
 
     wanted = cut(classes.drop("keys").join(members.select("id").distinct(), "id", "left_semi"))
     if wanted.count() <= HELD_IDS:
         wanted = F.broadcast(wanted)
     texts = frame.join(wanted.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").select("text")
     sets = cut(texts.mapInArrow(_sets(shape), f"{_SET_DDL}, shingles array<long>").join(wanted, _SET).select("id", "shingles").dropDuplicates(["id"]))
-    first = cut(_fitting(members.where("id > hub").select(F.col("id").alias("high"), F.col("hub").alias("low")), sizes, shape.percent))
+    first = cut(_fitting(members.where("id <> hub").select(F.greatest("id", "hub").alias("high"), F.least("id", "hub").alias("low")), sizes, shape.percent))
     links = cut(_confirmed(first, sets, shape.percent))
     parts = connected_components(links)
 

@@ -6,7 +6,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -16,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm import blocks as B
-from folioforge.llm.staging import cut
+from folioforge.llm.staging import bound_batches, cut
 from folioforge.sources.files import table
 
 SEQUENCE = 1024
@@ -24,9 +23,9 @@ END_ID = 2
 #: Pieces that one task packs; a sequence never mixes shards, which costs about one sequence each.
 SHARD_PIECES = 200_000
 #: Ids of known chunks that a worker holds (4 bytes each), and slots that find them (24 bytes each); powers of two.
-_RING_IDS = 1 << 24
-_SLOTS = 1 << 22
-_SLOT_SHIFT = np.uint64(42)
+_RING_IDS = 1 << 23
+_SLOTS = 1 << 21
+_SLOT_SHIFT = np.uint64(43)
 #: Chunks of more ids, such as texts without spaces, are encoded where they stand and not held.
 _HELD_IDS = 64
 #: Chunks encoded at once; the tokenizer's own records of them are far larger than their ids.
@@ -34,7 +33,6 @@ _BATCH_CHUNKS = 4096
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-_tokenizers: dict[str, object] = {}
 
 
 def default_tokenizer() -> str:
@@ -59,9 +57,7 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        if path not in _tokenizers:
-            _tokenizers[path] = Tokenizer.from_file(path)
-        self.tokenizer = _tokenizers[path]
+        self.path, self.tokenizer = path, Tokenizer.from_file(path)
         added = [re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile(b"|".join(added)) if added else None
         # A ring of ids, and slots that say where in it a chunk's ids are: two hashes of the chunk, place << 7 | length.
@@ -148,10 +144,11 @@ class Encoder:
         return out, np.concatenate([[0], ends_at])[np.searchsorted(starts, block.offsets)]
 
 
-@lru_cache(maxsize=2)
 def _encoder(path: str) -> Encoder:
-    """One for all tasks of a worker, so that chunks stay known from task to task."""
-    return Encoder(path)
+    """One for all tasks of a worker, so that chunks stay known from task to task, until other work runs there."""
+    found = next((k for k in B.kept if isinstance(k, Encoder) and k.path == path), None) or Encoder(path)
+    B.kept[:] = [found]
+    return found
 
 
 def _pieces(path: str | None, size: int, end_id: int):
@@ -159,7 +156,7 @@ def _pieces(path: str | None, size: int, end_id: int):
         encoder = _encoder(path or default_tokenizer())
         tail = np.array([end_id], "<u4")
         for batch in batches:
-            for block in B.text_blocks(batch.column("text")):
+            for block in B.text_blocks(batch.column("text"), keep=True):
                 ids, bounds = encoder.encode(block)
                 rows, piece, start, length, crc = [], [], [], [], []
                 for row in range(block.rows):
@@ -263,6 +260,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, size: int = SE
     memory follows the longest text.  `tokenizer` None means the public byte-level vocabulary as
     installed on each worker.
     """
+    bound_batches(docs.sparkSession)
     frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     pieces = cut(frame.mapInArrow(_pieces(tokenizer, size, end_id), _PIECES))
     shards = max(1, -(-pieces.count() // shard_pieces))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm import blocks as B
+from folioforge.llm.staging import bound_batches
 from folioforge.sources.files import table
 
 # Fixed values.
@@ -186,6 +187,7 @@ def judge_documents(docs: DataFrame, rules: LineRules = LineRules(), carry: tupl
     follows the longest text.  Other columns are dropped, save
     those in `carry`, whose names must differ from the result's.  No shuffle.
     """
+    bound_batches(docs.sparkSession)
     extra = [f"_carry_{c}" for c in carry]
     frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(c).alias(e) for c, e in zip(carry, extra, strict=True)))
     schema = OUT + "".join(f", `{e}` {frame.schema[e].dataType.simpleString()}" for e in extra)

@@ -29,6 +29,18 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+#: Bytes of an Arrow batch between the JVM and a Python worker.  Spark's own bound is a number of rows,
+#: whatever their size, and every task holds a few batches on both sides.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep the session's Arrow batches to `BATCH_BYTES`, unless it has a lower bound."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a folder that `fresh_path` named."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

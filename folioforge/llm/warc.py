@@ -24,7 +24,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.staging import cut, fresh_path
+from folioforge.llm.staging import bound_batches, cut, fresh_path
 from folioforge.sources.files import table
 
 _NAMESPACE = uuid.UUID("6f2b8b0e-4a8e-5f0e-9d3c-0c6d1f1b7a52")
@@ -200,6 +200,7 @@ def write_warc(pages: DataFrame, folder: str, layout: Layout = Layout()) -> Data
     partitions, and a repeated task writes other temporary names, which go with the commit.
     """
     spark = pages.sparkSession
+    bound_batches(spark)
     salt = F.pmod(F.xxhash64("url", "html"), F.lit(SALTS)).cast("int")
     frame = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", salt.alias("salt"))
     sized = frame.select("page_id", "salt", F.coalesce(F.octet_length("html"), F.lit(0)).alias("size"), F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("digest"))
