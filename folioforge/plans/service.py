@@ -13,6 +13,7 @@ from folioforge.plans import pipelines
 from folioforge.sources.store import VectorTable
 
 
+# Names, defaults and bounds of the public interface.
 @dataclass(frozen=True)
 class Defaults:
     collection: str = "legal_ai_default"
@@ -21,6 +22,8 @@ class Defaults:
     mmr_lambda: float = 0.5
     min_score: float = 0.0
     dim: int = 128
+    engine: str | None = None
+    embedder: str | None = None
 
 
 class Service:
@@ -31,7 +34,7 @@ class Service:
 
     def ingest(self, documents: DataFrame, collection: str | None = None) -> DataFrame:
         """Chunk, embed and store fused documents; returns the chunks."""
-        chunks = pipelines.ingest(documents, self.rules, collection or self.defaults.collection, self.defaults.dim)
+        chunks = pipelines.ingest(documents, self.rules, collection or self.defaults.collection, self.defaults.dim, self.defaults.embedder)
         self.table.upsert(chunks.drop("collection"), collection or self.defaults.collection)
         return chunks
 
@@ -42,10 +45,11 @@ class Service:
         request = self.spark.range(1).select(F.lit("q").alias("query"), F.lit(k).alias("top_k"), F.lit(weight).alias("mmr_lambda"), F.lit(least).alias("min_score"))
         if faults := schemas.checked(request, schemas.query_rules()).first()["errors"]:
             raise ValueError("; ".join(faults))
-        asked = retrieval.embed(schemas.split_rejects(questions, schemas.query_rules()[:1])[0], "query", d.dim).select("query_id", "embedding")
+        asked = retrieval.embed(schemas.split_rejects(questions, schemas.query_rules()[:1])[0], "query", d.dim, d.embedder).select("query_id", "embedding")
         stored = self.table.read(collection or d.collection)
         if stored is None:
-            return asked.limit(0).select("query_id")
+            kind = dict(asked.dtypes)["query_id"]
+            return self.spark.createDataFrame([], f"query_id {kind}, position int, id string, score double, {retrieval.CHUNK_COLUMNS}")
         entries = stored.withColumnRenamed("chunk_id", "id")
         return retrieval.retrieve(entries, asked, k, d.use_mmr if use_mmr is None else use_mmr, weight, least)
 
@@ -54,7 +58,7 @@ class Service:
         column = {"markdown": "markdown", "plain": "plain", "html": "html", "json": "json_summary"}.get(fmt.lower())
         if column is None:
             raise ValueError(f"unknown format: {fmt}")
-        return reasoning.format_answers(*reasoning.reason(queries)).select("query_id", F.col(column).alias("response"))
+        return reasoning.format_answers(*reasoning.reason(queries, engine=self.defaults.engine)).select("query_id", F.col(column).alias("response"))
 
     def collection_size(self, collection: str | None = None) -> int:
         return self.table.count(collection or self.defaults.collection)

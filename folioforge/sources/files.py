@@ -52,12 +52,18 @@ def to_json_lines(frame: DataFrame) -> DataFrame:
     return frame.select(F.to_json(F.struct(*frame.columns)).alias("value"))
 
 
-#: Tables of up to this many files are dealt to all cores; larger ones have splits enough.
-FEW_FILES = 4
+#: Tables of up to this many bytes may be dealt to all cores; larger ones are read as they are split.
+DEALT_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table.  One of a few files, which would keep a few cores busy, is dealt evenly to all of them."""
+    """A Parquet table.  A small one with fewer splits than cores, such as one of a single row group, is dealt evenly to all of them.
+
+    The size is the one that the scan knows; no files are listed and no larger table is ever shuffled here.
+    """
     frame = spark.read.parquet(path)
     cores = spark.sparkContext.defaultParallelism
-    return frame.repartition(cores) if len(frame.inputFiles()) <= min(FEW_FILES, cores - 1) else frame
+    plan = frame._jdf.queryExecution()
+    if int(str(plan.optimizedPlan().stats().sizeInBytes())) > DEALT_BYTES or plan.toRdd().getNumPartitions() >= cores:
+        return frame
+    return frame.repartition(cores)

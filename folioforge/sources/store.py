@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,49 +15,63 @@ def upserted(stored: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 class VectorTable:
-    """Chunks at a path.  Each upsert writes a new version beside the old, so a failed write leaves the table whole.
+    """Chunks at a path, a folder for each collection.
+
+    Each upsert writes a new version of its own collection beside the old one, so a failed write leaves the
+    table whole and other collections are not touched; versions before the last two are deleted.  Writers
+    of one collection must take turns: a second one finds the version's folder and fails.
 
-    `seq` keeps the order of insertion, by which equal scores are settled; replaced rows move to the end.
+    `seq` keeps the order of insertion, by which equal scores are settled: by batch, then in the order of
+    document, chunk and id; replaced rows move to the end.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self.jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
 
-    def _versions(self) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        files = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not files.exists(root):
-            return []
-        done = [s.getPath() for s in files.listStatus(root) if files.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return sorted(int(p.getName().removeprefix("v")) for p in done if p.getName().startswith("v"))
+    def _listed(self, path: str) -> list[str]:
+        root = self.jvm.Path(path)
+        self.files = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return [s.getPath().getName() for s in self.files.listStatus(root)] if self.files.exists(root) else []
 
-    def read(self, collection: str | None = None) -> DataFrame | None:
-        versions = self._versions()
-        if not versions:
-            return None
-        table = self.spark.read.parquet(f"{self.path}/v{versions[-1]}")
-        return table if collection is None else table.where(F.col("collection") == collection)
+    def _folder(self, collection: str) -> str:
+        return f"{self.path}/c-{quote(collection, safe='')}"
 
-    def _replace(self, rows: DataFrame) -> None:
-        writer = rows.write if rows.isEmpty() else rows.write.partitionBy("collection")  # without rows, a plain file keeps the schema
-        writer.parquet(f"{self.path}/v{(self._versions() or [0])[-1] + 1}")
+    def _versions(self, folder: str) -> list[int]:
+        names = [n for n in self._listed(folder) if n.startswith("v")]
+        return sorted(int(n[1:]) for n in names if self.files.exists(self.jvm.Path(f"{folder}/{n}/_SUCCESS")))
+
+    def read(self, collection: str | None = None) -> DataFrame | None:
+        """The rows of a collection or of all; None where nothing was ever stored."""
+        folders = [f"{self.path}/{n}" for n in self._listed(self.path) if n.startswith("c-")] if collection is None else [self._folder(collection)]
+        newest_ones = [f"{f}/v{v[-1]}" for f in folders if (v := self._versions(f))]
+        return self.spark.read.parquet(*newest_ones) if newest_ones else None
+
+    def _replace(self, collection: str, rows: DataFrame) -> None:
+        folder = self._folder(collection)
+        versions = self._versions(folder)
+        rows.write.parquet(f"{folder}/v{(versions or [0])[-1] + 1}")
+        for old in versions[:-1]:
+            self.files.delete(self.jvm.Path(f"{folder}/v{old}"), True)
 
     def upsert(self, chunks: DataFrame, collection: str = "legal_ai_default") -> None:
-        """Add `chunks` (`chunk_id`, `embedding`, ...) to a collection."""
-        stored = self.read()
+        """Add `chunks` (`chunk_id`, `embedding`, ...) to a collection; of rows that share a chunk_id the last by their other columns stays."""
+        stored = self.read(collection)
         top = 0 if stored is None else stored.agg(F.max("seq")).first()[0] or 0
-        fresh = chunks.withColumn("collection", F.lit(collection)).withColumn("seq", F.monotonically_increasing_id() + top + 1)
-        self._replace(fresh if stored is None else upserted(stored, fresh))
+        plain = [c for c in ("document_id", "chunk_index", "text") if c in chunks.columns]
+        last = Window.partitionBy("chunk_id").orderBy(*(F.desc(c) for c, kind in chunks.dtypes if "map<" not in kind))
+        once = chunks.withColumn("_k", F.row_number().over(last)).where("_k = 1").drop("_k").orderBy(*plain, "chunk_id")
+        fresh = once.withColumn("collection", F.lit(collection)).withColumn("seq", F.monotonically_increasing_id() + top + 1)
+        self._replace(collection, fresh if stored is None else upserted(stored, fresh))
 
     def get(self, ids: DataFrame, collection: str = "legal_ai_default") -> DataFrame:
         """Chunks by id; unknown ids give no row."""
         return self.read(collection).join(ids, "chunk_id", "left_semi")
 
     def delete_collection(self, collection: str = "legal_ai_default") -> None:
-        stored = self.read()
+        stored = self.read(collection)
         if stored is not None:
-            self._replace(stored.where(F.col("collection") != collection))
+            self._replace(collection, stored.limit(0))
 
     def count(self, collection: str = "legal_ai_default") -> int:
         stored = self.read(collection)
