@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions import scores, text
@@ -21,11 +21,13 @@ def pdf_pages(documents: DataFrame, engine: str = "pymupdf") -> DataFrame:
     return made.select("path", F.explode("pages").alias("p")).select("path", "p.page", "p.native_text", "p.raster")
 
 
-def read_documents(documents: DataFrame, pdf: str = "pymupdf", recognise: str = "paddle") -> DataFrame:
+def read_documents(documents: DataFrame, pdf: str = "pymupdf", recognise: str = "paddle", decode: Callable[[bytes], np.ndarray] = media.decode_image) -> DataFrame:
     """One OCR result per file.
 
     A page with enough text of its own is not recognised; the two kinds of page part before the model,
-    as a UDF is not short-circuited, and meet again as blocks.
+    as a UDF is not short-circuited, and meet again as blocks.  A scanned page is cut into its layout
+    regions, each classified by its place and recognised by itself, in reading order; what does not
+    decode goes to the engine whole.
     """
     pages = pdf_pages(documents, pdf)
     image = documents.where(files.extension(F.col("path")) != ".pdf").select("path", F.lit(1).alias("page"), F.lit("").alias("native_text"), F.col("content").alias("raster"))
@@ -33,15 +35,19 @@ def read_documents(documents: DataFrame, pdf: str = "pymupdf", recognise: str =
     paragraphs = native.select("path", "page", F.posexplode(F.split("native_text", r"\n\s*\n")).alias("pos", "text"))
     placed = paragraphs.withColumn("y0", F.col("pos") / F.count("*").over(_page())).withColumn("page_height", F.lit(1.0))
     first = ocr.native_blocks(placed).select("path", "page", "pos", "type", "text", "confidence", "ocr_engine")
-    words = scanned.select("path", "page", F.posexplode(engines.run("ocr", recognise, F.col("raster"))).alias("pos", "w")).select("path", "page", "pos", "w.*")
-    lines = ocr.words_to_text(words, ["path", "page"]).join(words.groupBy("path", "page").agg(scores.mean_confidence_agg(F.col("confidence")).alias("confidence")), ["path", "page"])
-    second = lines.select("path", "page", F.lit(0).alias("pos"), F.lit("body").alias("type"), "text", "confidence", F.lit(recognise).alias("ocr_engine"))
+    regions = media.layout_crops(scanned, decode)
+    kind = F.when(F.col("width").isNull(), "body").otherwise(scores.layout_class(*(F.col(c) for c in ("x0", "y0", "x1", "y1", "width", "height"))))
+    region = F.struct(*(F.coalesce(c, F.lit(0)).alias(n) for n, c in zip(("band", "x0", "y0"), (*scores.reading_order(F.col("y0"), F.col("x0")), F.col("y0")), strict=True)), kind.alias("type"))
+    told = regions.select("path", "page", region.alias("region"), engines.run("ocr", recognise, F.col("crop")).alias("words"))
+    words = told.select("path", "page", "region", F.posexplode("words").alias("pos", "w")).select("path", "page", "region", "pos", "w.*")
+    keys = ["path", "page", "region"]
+    lines = ocr.words_to_text(words, keys).join(words.groupBy(*keys).agg(scores.mean_confidence_agg(F.col("confidence")).alias("confidence")), keys)
+    numbered = lines.withColumn("pos", F.row_number().over(_page().orderBy("region")) - 1)
+    second = numbered.select("path", "page", "pos", "region.type", "text", "confidence", F.lit(recognise).alias("ocr_engine"))
     return ocr.assemble(first.unionByName(second).withColumnRenamed("path", "document_id"))
 
 
 def _page():
-    from pyspark.sql import Window
-
     return Window.partitionBy("path", "page")
 
 
@@ -74,6 +80,17 @@ def handwriting_regions(images: DataFrame, least_area: int = 400, least_score: f
     return kept.withColumn("hw_type", kind).orderBy("origin", *scores.reading_order(F.col("y0"), F.col("x0"), 60))
 
 
+def read_handwritten_pages(images: DataFrame, language: str = "en", engine: str | None = None, **limits: float) -> DataFrame:
+    """One HTR result per decoded page (`origin`, `height`, `width`, `nChannels`, `data`): regions found, cut out, read in order and joined.
+
+    `limits` are those of `handwriting_regions`.
+    """
+    found = handwriting_regions(images, **limits)
+    order = Window.partitionBy("origin").orderBy(*scores.reading_order(F.col("y0"), F.col("x0"), 60), "y0")
+    crops = media.crop_boxes(images, found.withColumn("pos", F.row_number().over(order)))
+    return read_handwriting(crops.select(F.col("origin").alias("document_id"), "pos", F.col("hw_type").alias("type"), "crop", F.lit(language).alias("language")), engine)
+
+
 def read_handwriting(regions: DataFrame, engine: str | None = None) -> DataFrame:
     """One HTR result per document from region crops (`document_id`, `pos`, `type`, `crop`, `language`).
 

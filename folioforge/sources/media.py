@@ -7,6 +7,8 @@ gradient thresholds, and skew is searched on projection profiles; results are cl
 
 from __future__ import annotations
 
+import re
+import zlib
 import io
 import wave
 from collections.abc import Callable, Iterator
@@ -14,6 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 RATE = 16_000
 TARGET_RMS, MAX_GAIN, SILENT_RMS = 0.1, 10.0, 1e-6
@@ -187,6 +190,110 @@ def normalise_rms(samples: np.ndarray, target: float = TARGET_RMS) -> np.ndarray
     return (samples * min(MAX_GAIN, target / rms)).clip(-1, 1).astype(np.float32)
 
 
+def encode_pnm(image: np.ndarray) -> bytes:
+    """A grey or colour image (BGR, as Spark decodes) as a binary PGM or PPM file."""
+    high, wide = image.shape[:2]
+    pixels = image if image.ndim == 2 else image[:, :, 2::-1]
+    return b"P%d %d %d 255\n" % (5 if image.ndim == 2 else 6, wide, high) + np.ascontiguousarray(pixels, np.uint8).tobytes()
+
+
+def _png(content: bytes) -> np.ndarray:
+    """Pixels of a PNG file of 8 bits a sample without interlacing or palette."""
+    at, packed, wide, high, kind = 8, [], 0, 0, -1
+    while at + 8 <= len(content):
+        size, name = int.from_bytes(content[at : at + 4], "big"), content[at + 4 : at + 8]
+        body = content[at + 8 : at + 8 + size]
+        if name == b"IHDR":
+            wide, high = int.from_bytes(body[:4], "big"), int.from_bytes(body[4:8], "big")
+            kind = body[9] if body[8] == 8 and not body[12] else -1
+        elif name == b"IDAT":
+            packed.append(body)
+        at += size + 12
+    samples = {0: 1, 2: 3, 4: 2, 6: 4}.get(kind)
+    if not samples:
+        raise ValueError("a kind of PNG that is not read")
+    lines = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(high, wide * samples + 1)
+    out = np.zeros((high + 1, wide + 1, samples), np.int64)  # a border of zeros above and to the left
+    for y in range(high):
+        rule, line, above = lines[y, 0], lines[y, 1:].reshape(wide, samples).astype(np.int64), out[y]
+        if rule == 0:
+            out[y + 1, 1:] = line
+        elif rule == 1:
+            out[y + 1, 1:] = np.cumsum(line, axis=0) % 256
+        elif rule == 2:
+            out[y + 1, 1:] = (line + above[1:]) % 256
+        else:
+            for x in range(wide):
+                left, up, corner = out[y + 1, x], above[x + 1], above[x]
+                if rule == 3:
+                    guess = (left + up) // 2
+                else:
+                    a, b, c = np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)
+                    guess = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+                out[y + 1, x + 1] = (line[x] + guess) % 256
+    pixels = out[1:, 1:].astype(np.uint8)
+    return pixels[:, :, 0] if samples < 3 else pixels[:, :, 2::-1]
+
+
+def decode_image(content: bytes) -> np.ndarray:
+    """Pixels (grey, or BGR) of a PGM, PPM or PNG file; other kinds take a decoder of the caller's."""
+    if content[:8] == b"\x89PNG\r\n\x1a\n":
+        return _png(content)
+    if head := re.match(rb"P([56])\s+(\d+)\s+(\d+)\s+255\s", content):
+        kind, wide, high = (int(x) for x in head.groups())
+        pixels = np.frombuffer(content, np.uint8, wide * high * (3 if kind == 6 else 1), head.end())
+        return pixels.reshape(high, wide, 3)[:, :, ::-1] if kind == 6 else pixels.reshape(high, wide)
+    raise ValueError("a kind of image that is not read")
+
+
+def layout_crops(pages: DataFrame, decode: Callable[[bytes], np.ndarray] = decode_image) -> DataFrame:
+    """Layout regions of scanned pages (`path`, `page`, `raster`) with their cleaned pixels: path, page, width, height, x0 to y1, crop.
+
+    Regions of less than five pixels a side are left out.  A page without a region is one region of its whole size; so is one that does not decode, with null
+    sizes and its raster as it is.
+    """
+    kinds = [("width", pa.int32()), ("height", pa.int32()), ("x0", pa.int32()), ("y0", pa.int32()), ("x1", pa.int32()), ("y1", pa.int32()), ("crop", pa.binary())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, found = [], []
+            for k, raster in enumerate(batch.column("raster").to_pylist()):
+                try:
+                    image = preprocess(decode(raster or b""))
+                except Exception:  # any decoder's: the engine gets the file as it is
+                    rows.append(k)
+                    found.append((None,) * 6 + (raster,))
+                    continue
+                high, wide = image.shape[:2]
+                for x0, y0, x1, y1 in detect_layout(image) or [(0, 0, wide, high)]:
+                    if min(x1 - x0, y1 - y0) < 5:
+                        continue
+                    rows.append(k)
+                    found.append((wide, high, x0, y0, x1, y1, encode_pnm(image[y0:y1, x0:x1])))
+            at, columns = pa.array(rows, pa.int64()), list(zip(*found, strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([batch.column("path").take(at), batch.column("page").take(at), *(pa.array(list(c), t) for c, (_, t) in zip(columns, kinds, strict=True))], ["path", "page", *(n for n, _ in kinds)])
+
+    schema = "path string, page int, width int, height int, x0 int, y0 int, x1 int, y1 int, crop binary"
+    return pages.select("path", F.col("page").cast("int").alias("page"), "raster").mapInArrow(run, schema)
+
+
+def crop_boxes(images: DataFrame, boxes: DataFrame) -> DataFrame:
+    """`boxes` (`origin`, `x0`, `y0`, `x1`, `y1`, ...) of decoded pages with their pixels as `crop`, a binary PGM or PPM file."""
+    pixels = images.select("origin", F.col("height").alias("_h"), F.col("width").alias("_w"), F.col("nChannels").alias("_n"), F.col("data").alias("_data"))
+    joined, columns = boxes.join(pixels, "origin"), boxes.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            crops = []
+            for h, w, n, data, *box in zip(*(batch.column(c).to_pylist() for c in ("_h", "_w", "_n", "_data", "x0", "y0", "x1", "y1")), strict=True):
+                page = np.frombuffer(data, np.uint8).reshape((h, w, n) if n > 1 else (h, w))
+                x0, y0, x1, y1 = map(int, box)
+                crops.append(encode_pnm(page[y0:y1, x0:x1]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(crops, pa.binary())], [*columns, "crop"])
+
+    return joined.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in boxes.dtypes) + ", crop binary")
+
+
 def load_audio(files: DataFrame, decode: Callable[[bytes], tuple[np.ndarray, int]] = decode_wav) -> DataFrame:
     """Samples at 16 kHz, normalised, of each file (`path`, `content`); `error` where it does not decode."""
 
