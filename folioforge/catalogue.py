@@ -500,6 +500,135 @@ def _(spark, sf):
     return pipelines.answer_questions(spark, sf)
 
 
+# Wholes of several steps, with SQL of their own.
+_FUSE_STEPS = f"""b AS (SELECT doc_id // 4 AS document_id, doc_id % 4 AS r, lang, {_STRIP.format(_sql_rules('text', [*_FUSED, (r'[ \t]+', ' '), (r' +\n', chr(10)), (r'\n{3,}', chr(10) * 2)]))} AS t FROM documents),
+k AS (SELECT *, count(*) OVER (PARTITION BY document_id) AS n_blocks FROM b WHERE length(t) >= 3),
+x AS (SELECT document_id, r, unnest(s) AS s, generate_subscripts(s, 1) AS i FROM (SELECT document_id, r, {_SENTENCES.format('t')} AS s FROM k)),
+l AS (SELECT document_id, list({{'r': r, 's': s, 't': list_distinct(regexp_extract_all(lower(s), '{_WORD}+'))}} ORDER BY r, i) AS s FROM x GROUP BY document_id),
+f AS (SELECT document_id, list_reduce(s, lambda st, x: list_append(st, {{'r': x.r, 's': x.s, 't': CASE WHEN len(x.t) > 0 AND len(list_filter(st, lambda y: len(y.t) > 0 AND len(y.t) >= 0.85 * len(x.t) AND len(x.t) >= 0.85 * len(y.t)
+  AND 1.85 * len(list_intersect(x.t, y.t)) >= 0.85 * (len(x.t) + len(y.t)) - 1e-9)) > 0 THEN NULL ELSE x.t END}}), []::STRUCT(r BIGINT, s VARCHAR, t VARCHAR[])[]) AS l FROM l),
+u AS (SELECT document_id, unnest(l) AS e, generate_subscripts(l, 1) AS i FROM f),
+j AS (SELECT document_id, e.r AS r, string_agg(e.s, ' ' ORDER BY i) AS t FROM u WHERE e.t IS NOT NULL GROUP BY 1, 2),
+m AS (SELECT k.document_id, k.r, k.lang, CASE WHEN k.n_blocks < 2 THEN k.t ELSE coalesce(j.t, '') END AS t FROM k LEFT JOIN j ON k.document_id = j.document_id AND k.r = j.r),
+v AS (SELECT document_id, lang, row_number() OVER (PARTITION BY document_id ORDER BY sum(CASE WHEN r = 2 THEN 2 ELSE 1 END) DESC, min(r)) AS p FROM m GROUP BY 1, 2),
+g AS (SELECT document_id, string_agg('[' || ['OCR-DOCUMENT', 'HTR-HANDWRITING', 'ASR-VOICE', 'TYPED-INPUT'][r + 1] || ']' || chr(10) || t || chr(10) || '[/' || ['OCR-DOCUMENT', 'HTR-HANDWRITING', 'ASR-VOICE', 'TYPED-INPUT'][r + 1] || ']', chr(10) || chr(10) ORDER BY r) AS fused_text,
+  string_agg(['OCR', 'HTR', 'ASR', 'TYPED'][r + 1], ', ' ORDER BY r) FILTER (WHERE t <> '') AS sources FROM m GROUP BY document_id),
+w AS (SELECT g.*, v.lang AS primary_language, CAST(len({_TOKENS.format('fused_text')}) AS BIGINT) AS total_word_count, {_intent_sql('fused_text', text.QUESTION_FUSED, text.INSTRUCTION_FUSED)} AS detected_intent FROM g JOIN v USING (document_id) WHERE v.p = 1)"""
+
+
+@query("fuse_dedup", f"""WITH {_FUSE_STEPS}
+SELECT document_id, primary_language, detected_intent, total_word_count, fused_text,
+  '[LEGAL-AI CONTEXT]' || chr(10) || 'Language: ' || primary_language || chr(10) || 'Intent: ' || detected_intent || chr(10) || 'Sources: ' || coalesce(sources, '') || chr(10) || 'Word count: ' || total_word_count || chr(10) || 'Review flags: 0' || chr(10) || '[/LEGAL-AI CONTEXT]' || chr(10) || chr(10) || fused_text AS llm_text FROM w""")
+def _(spark, sf):
+    fused = fusion.fuse(_blocks(spark, sf))
+    return fused.select("document_id", "primary_language", "detected_intent", "total_word_count", "fused_text", fusion.for_llm().alias("llm_text"))
+
+
+@query("modality_blocks", f"""WITH {_FUSE_STEPS}
+SELECT document_id, ['OCR', 'HTR', 'ASR', 'TYPED'][r + 1] AS source, t AS text, lang AS language, CAST(len({_TOKENS.format('t')}) AS BIGINT) AS word_count, contains(t, '[REVIEW]') AS has_review_flags FROM m""")
+def _(spark, sf):
+    return fusion.fuse(_blocks(spark, sf)).select("document_id", F.inline("modalities")).withColumn("word_count", F.col("word_count").cast("long"))
+
+
+_REVIEWED = _INJECT["review"]
+
+
+@query("chunk_texts", _windows_sql(100, 20).replace("FROM documents", f"FROM (SELECT doc_id, {_REVIEWED} AS text FROM documents)") + f""", d AS (SELECT doc_id AS document_id, {_SENTENCES.format('text')} AS s FROM (SELECT doc_id, {_REVIEWED} AS text FROM documents)),
+k AS (SELECT document_id, window_index, array_to_string(list_slice(s, win.first, win.last), ' ') AS t, c[win.last + 1] - c[win.first] AS n, window_index = max(window_index) OVER (PARTITION BY document_id) AS tail FROM u JOIN d USING (document_id)),
+m AS (SELECT document_id, window_index, t, CASE WHEN tail AND n < 5 THEN -1 ELSE window_index END AS g, tail FROM k WHERE tail OR n >= 5),
+o AS (SELECT document_id, window_index, t, CASE WHEN g = -1 THEN max(g) FILTER (WHERE g >= 0) OVER (PARTITION BY document_id) ELSE g END AS g FROM m),
+p AS (SELECT document_id, g, string_agg(t, ' ' ORDER BY window_index) AS text FROM o WHERE g IS NOT NULL GROUP BY 1, 2)
+SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY g) - 1 AS INT) AS chunk_index, text, contains(text, '[REVIEW]') AS has_review_flag, sha256(CAST(document_id AS VARCHAR) || '|' || CAST(row_number() OVER (PARTITION BY document_id ORDER BY g) - 1 AS VARCHAR)) AS chunk_id FROM p""")
+def _(spark, sf):
+    docs = _injected(spark, sf, "review").select(F.col("doc_id").alias("document_id"), F.col("text").alias("rag_text"), F.col("text").alias("fused_text"))
+    return retrieval.chunk(docs, retrieval.ChunkRules(100, 20, 5)).select("document_id", "chunk_index", "text", "has_review_flag", "chunk_id")
+
+
+_NEAR = f"""WITH RECURSIVE e AS ({_VECTORS}), p AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(q.v, e.v) AS c FROM e q, e WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, id, round(greatest(0, c), 4) AS s, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 12) DESC, id) AS k FROM p),
+n AS (SELECT query_id, id, s, k FROM r WHERE k <= 15),
+near AS (SELECT a.query_id, a.k AS a, b.k AS b, list_cosine_similarity(x.v, y.v) AS c FROM n a JOIN n b USING (query_id) JOIN e x ON x.vec_id = a.id JOIN e y ON y.vec_id = b.id),
+step(query_id, position, chosen, k) AS (
+  SELECT query_id, 1, [k], k FROM (SELECT query_id, k, row_number() OVER (PARTITION BY query_id ORDER BY 0.5 * s DESC, k) AS z FROM n) WHERE z = 1
+  UNION ALL
+  SELECT query_id, position + 1, list_append(chosen, k), k FROM (
+    SELECT t.query_id, t.position, t.chosen, n.k, row_number() OVER (PARTITION BY t.query_id ORDER BY 0.5 * any_value(n.s) - 0.5 * max(near.c) DESC, n.k) AS z
+    FROM step t JOIN n ON n.query_id = t.query_id AND NOT list_contains(t.chosen, n.k) JOIN near ON near.query_id = t.query_id AND near.a = n.k AND list_contains(t.chosen, near.b)
+    WHERE t.position < 5 GROUP BY t.query_id, t.position, t.chosen, n.k) WHERE z = 1)"""
+
+
+@query("mmr_order", f"{_NEAR} SELECT step.query_id, n.id, n.s AS score, CAST(position AS INT) AS position FROM step JOIN n ON n.query_id = step.query_id AND n.k = step.k")
+def _(spark, sf):
+    return retrieval.retrieve(_entries(spark, sf), _questions(spark, sf), 5).select("query_id", "id", F.round("score", 4).alias("score"), F.col("position").cast("int").alias("position"))
+
+
+@query("ann_recall", "SELECT count(*) AS n_queries, true AS recall_of_nine_tenths FROM embeddings WHERE vec_id % 50 = 0")
+def _(spark, sf):
+    """Recall of the approximate search against the exact one, over every row whose id is divisible by 50."""
+    exact = retrieval.knn(_entries(spark, sf), _questions(spark, sf), 5).select("query_id", "id")
+    found = retrieval.approximate_knn(_entries(spark, sf), _questions(spark, sf), 5, planes=4, tables=24).select("query_id", "id", F.lit(1).alias("found"))
+    return exact.join(found, ["query_id", "id"], "left").agg(F.countDistinct("query_id").alias("n_queries"), (F.count("found") >= 0.9 * F.count("*")).alias("recall_of_nine_tenths"))
+
+
+_ANSWERS = {"cheque": reasoning.CHEQUE_ANSWER, "cheating": reasoning.CHEATING_ANSWER, "other": reasoning.OTHER_ANSWER.replace("[UNCERTAIN]", "")}
+_QUOTED = {name: answer.replace("'", "''") for name, answer in _ANSWERS.items()}
+_CLAIMS = f"""WITH q AS (SELECT query_id, lower(query) AS p, substr(regexp_replace(regexp_replace(replace(replace(body, chr(13), ' '), chr(10), ' '), '^\\s+|\\s+$', '', 'g'), ' $', ''), 1, 200) AS x FROM ({_PROMPTS})),
+a AS (SELECT query_id, CASE WHEN p LIKE '%138%' OR p LIKE '%cheque%' THEN '{_QUOTED["cheque"]}' WHEN p LIKE '%420%' OR p LIKE '%cheat%' OR p LIKE '%fraud%' THEN '{_QUOTED["cheating"]}' ELSE '{_QUOTED["other"]}' END AS answer,
+  CASE WHEN length(x) > 150 THEN regexp_replace(substr(x, 1, 150), '\\s+$', '') || '...' ELSE x END AS x FROM q),
+h AS (SELECT *, {{0}} AS safe_answer, {{1}} AS safe_x FROM a)"""
+
+
+def _escaped_sql(expression: str) -> str:
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+        expression = f"replace({expression}, '{raw}', '{safe}')"
+    return expression
+
+
+@query("render_text", _CLAIMS.replace("{0}", f"replace(replace({_escaped_sql('answer')}, chr(10) || chr(10), '</p><p>'), chr(10), '<br>')").replace("{1}", _escaped_sql("x")) + """
+SELECT query_id, answer,
+  '## Legal AI Answer' || chr(10) || chr(10) || answer || chr(10) || chr(10) || '## Citations' || chr(10) || chr(10) || chr(10) || '[1] **OCR** (score: 0.923): _' || x || '_' || chr(10) || chr(10) || chr(10) || '---' || chr(10) || '*Confidence: 85.0% | Grounded: Yes | Language: en*' AS markdown,
+  'ANSWER' || chr(10) || repeat('=', 60) || chr(10) || answer || chr(10) || chr(10) || 'CITATIONS' || chr(10) || repeat('-', 40) || chr(10) || '[1] OCR (score: 0.923): ' || x || chr(10) || chr(10) || 'Confidence: 85.0% | Grounded: Yes' AS plain,
+  '<html><body>' || chr(10) || '<h2>Legal AI Answer</h2><p>' || safe_answer || '</p>' || chr(10) || '<h3>Citations</h3><ol>' || chr(10) || '<li><strong>[1]</strong> <em>OCR</em> (score: 0.923): ' || safe_x || '</li>' || chr(10) || '</ol>' || chr(10) || '<p><em>Confidence: 85.0% | Grounded: Yes</em></p>' || chr(10) || '</body></html>' AS html
+FROM h""")
+def _(spark, sf):
+    return reasoning.format_answers(*reasoning.reason(_prompts(spark, sf))).select("query_id", "answer", "markdown", "plain", "html")
+
+
+@query("answer_summary", _CLAIMS.replace("{0}", "''").replace("{1}", "''") + " SELECT query_id, substr(answer, 1, 200) AS answer_preview, 85.0::DOUBLE AS confidence, 1 AS citations, true AS is_grounded, false AS review_required FROM h")
+def _(spark, sf):
+    rendered = reasoning.format_answers(*reasoning.reason(_prompts(spark, sf)))
+    return rendered.select("query_id", F.from_json("json_summary", "answer_preview string, confidence double, citations int, is_grounded boolean, review_required boolean").alias("j")).select("query_id", "j.*")
+
+
+@query("context_string", """WITH r AS (SELECT l_orderkey AS query_id, l_linenumber * 1000000000000 + l_partkey * 10000 + l_suppkey AS position, 'c' || CAST(l_suppkey % 4 AS STRING) AS source_modality, l_linenumber / 8.0 AS s, l_shipmode AS t FROM (SELECT *, 'part ' || CAST(l_partkey AS STRING) AS l_shipmode FROM lineitem)),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY position) AS i FROM r)
+SELECT query_id, '[CONTEXT]' || chr(10) || chr(10) || string_agg('[' || i || '] source=' || source_modality || ' score=' || format('{:.3f}', s) || chr(10) || t, chr(10) || chr(10) ORDER BY i) || chr(10) || chr(10) || '[/CONTEXT]' AS retrieval_context, count(*) AS n_chunks FROM n GROUP BY query_id""")
+def _(spark, sf):
+    ranked = _table(spark, sf, "lineitem").selectExpr("l_orderkey AS query_id", "l_linenumber * 1000000000000 + l_partkey * 10000 + l_suppkey AS position", "'c' || CAST(l_suppkey % 4 AS STRING) AS source_modality", "l_linenumber / 8.0D AS score", "'part ' || CAST(l_partkey AS STRING) AS text")
+    return retrieval.context_string(ranked)
+
+
+@query("block_flags", "SELECT doc_id, CAST(doc_id % 101 AS DOUBLE) AS confidence, doc_id % 101 < 70 AS review_required FROM documents")
+def _(spark, sf):
+    return ocr.process_blocks(_table(spark, sf, "documents").selectExpr("doc_id", "CAST(doc_id % 101 AS DOUBLE) AS confidence", "text")).select("doc_id", "confidence", "review_required")
+
+
+_LANGUAGE = "CASE doc_id % 7 WHEN 0 THEN 'hi' WHEN 1 THEN 'mr' WHEN 2 THEN 'ne' WHEN 3 THEN 'sa' WHEN 4 THEN 'ta' ELSE lang END"
+
+
+@query("engine_routing", f"SELECT doc_id, CASE WHEN l IN ('hi', 'mr', 'ne', 'sa') THEN 'tesseract_devanagari' ELSE 'trocr' END AS engine, CASE WHEN l IN ('hi', 'mr', 'ne', 'sa') THEN 'tesseract_devanagari' WHEN l = 'ta' THEN 'unknown' ELSE 'trocr' END AS tag FROM (SELECT doc_id, {_LANGUAGE} AS l FROM documents)")
+def _(spark, sf):
+    routed = _table(spark, sf, "documents").selectExpr("doc_id", f"{_LANGUAGE} AS l").withColumn("engine", htr.engine_for(F.col("l")))
+    return routed.select("doc_id", "engine", htr.engine_tag(F.when(F.col("l") == "ta", "other").otherwise(F.col("engine"))).alias("tag"))
+
+
+@query("hydrated_hits", f"""WITH e AS ({_VECTORS}), p AS (SELECT q.vec_id AS query_id, e.vec_id AS id, e.label, list_cosine_similarity(q.v, e.v) AS c FROM e q, e WHERE q.vec_id % 50 = 0)
+SELECT query_id, id, label, round(greatest(0, round(greatest(0, c), 4) - CASE WHEN label % 2 = 0 THEN 0.1 ELSE 0 END), 4) AS score, CAST(k AS INT) AS position FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 12) DESC, id) AS k FROM p) WHERE k <= 5""")
+def _(spark, sf):
+    entries = _entries(spark, sf).withColumn("has_review_flag", F.col("label") % 2 == 0)
+    return retrieval.retrieve(entries, _questions(spark, sf), 5, use_mmr=False, review_penalty=0.1).select("query_id", "id", "label", F.round("score", 4).alias("score"), "position")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipelines.answer_questions(spark, sf_dir)
 
