@@ -173,9 +173,50 @@ def pydub(rate: int = RATE) -> Any:
     return decode
 
 
+# What the models' classes mean.
+LAYOUT_TYPES = {"Text": "body", "Title": "heading", "List": "body", "Table": "table", "Figure": "body"}
+HANDWRITING_TYPES = ("standalone_note", "annotation", "signature", "table_fill")
+HANDWRITING_THRESHOLD = 0.4
+LAYOUT_MODEL, LAYOUT_THRESHOLD = "lp://PubLayNet/faster_rcnn_R_50_FPN_3x/config", 0.5
+
+
+def layoutparser(model: str = LAYOUT_MODEL, threshold: float = LAYOUT_THRESHOLD) -> engines.Engine:
+    import layoutparser as library
+
+    names = dict(enumerate(LAYOUT_TYPES))
+    detector = library.Detectron2LayoutModel(config_path=model, extra_config=["MODEL.ROI_HEADS.SCORE_THRESH_TEST", threshold], label_map=names)
+
+    def regions(data: bytes) -> list[dict]:
+        found = [(*map(int, b.coordinates), LAYOUT_TYPES.get(b.type, "unknown"), 100.0 * float(b.score)) for b in detector.detect(np.asarray(_image(data)))]
+        return [dict(zip(("x0", "y0", "x1", "y1", "block_type", "confidence"), f, strict=True)) for f in sorted(found, key=lambda f: (f[1] // 50, f[0]))]
+
+    return lambda values: [regions(v) for v in values]
+
+
+def yolov8(path: str, threshold: float = HANDWRITING_THRESHOLD) -> engines.Engine:
+    """Handwriting regions by a fine-tuned model at `path`; register it as `engines.register("layout", "yolov8", partial(yolov8, path))`."""
+    from ultralytics import YOLO
+
+    model = YOLO(path)
+
+    def regions(data: bytes) -> list[dict]:
+        image = _image(data)
+        wide, high = image.size
+        found = []
+        for result in model(image, conf=threshold, verbose=False):
+            for box in result.boxes:
+                x0, y0, x1, y1 = (int(v) for v in box.xyxy[0].tolist())
+                kind = dict(enumerate(HANDWRITING_TYPES)).get(int(box.cls[0]), "unknown")
+                found.append({"x0": max(0, x0), "y0": max(0, y0), "x1": min(wide, x1), "y1": min(high, y1), "block_type": kind, "confidence": float(box.conf[0])})
+        return sorted(found, key=lambda f: (f["y0"] // 60, f["x0"]))
+
+    return lambda values: [regions(v) for v in values]
+
+
 _LIBRARIES = {
     ("ocr", "paddle"): paddle, ("ocr", "tesseract"): tesseract, ("htr", "trocr"): trocr, ("htr", "tesseract_devanagari"): tesseract_devanagari, ("asr", "whisper"): whisper, ("asr", "faster_whisper"): faster_whisper,
     ("embed", "sentence_transformer"): sentence_transformer, ("embed", "gemini"): gemini_embedding, ("llm", "gemini"): gemini, ("pdf", "pymupdf"): pymupdf, ("language", "langdetect"): langdetect,
+    ("layout", "layoutparser"): layoutparser,
 }
 
 

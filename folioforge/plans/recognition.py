@@ -21,13 +21,13 @@ def pdf_pages(documents: DataFrame, engine: str = "pymupdf") -> DataFrame:
     return made.select("path", F.explode("pages").alias("p")).select("path", "p.page", "p.native_text", "p.raster")
 
 
-def read_documents(documents: DataFrame, pdf: str = "pymupdf", recognise: str = "paddle", decode: Callable[[bytes], np.ndarray] = media.decode_image) -> DataFrame:
+def read_documents(documents: DataFrame, pdf: str = "pymupdf", recognise: str = "paddle", decode: Callable[[bytes], np.ndarray] = media.decode_image, layout: str | None = None) -> DataFrame:
     """One OCR result per file.
 
     A page with enough text of its own is not recognised; the two kinds of page part before the model,
     as a UDF is not short-circuited, and meet again as blocks.  A scanned page is cut into its layout
     regions, each classified by its place and recognised by itself, in reading order; what does not
-    decode goes to the engine whole.
+    decode goes to the engine whole.  `layout` names a registered layout engine; without one ink is searched.
     """
     pages = pdf_pages(documents, pdf)
     image = documents.where(files.extension(F.col("path")) != ".pdf").select("path", F.lit(1).alias("page"), F.lit("").alias("native_text"), F.col("content").alias("raster"))
@@ -35,8 +35,10 @@ def read_documents(documents: DataFrame, pdf: str = "pymupdf", recognise: str =
     paragraphs = native.select("path", "page", F.posexplode(F.split("native_text", r"\n\s*\n")).alias("pos", "text"))
     placed = paragraphs.withColumn("y0", F.col("pos") / F.count("*").over(_page())).withColumn("page_height", F.lit(1.0))
     first = ocr.native_blocks(placed).select("path", "page", "pos", "type", "text", "confidence", "ocr_engine")
+    if layout:
+        scanned = scanned.withColumn("regions", engines.run("layout", layout, F.col("raster")))
     regions = media.layout_crops(scanned, decode)
-    kind = F.when(F.col("width").isNull(), "body").otherwise(scores.layout_class(*(F.col(c) for c in ("x0", "y0", "x1", "y1", "width", "height"))))
+    kind = F.when(F.col("width").isNull(), "body").when(F.col("block_type").isNotNull(), F.col("block_type")).otherwise(scores.layout_class(*(F.col(c) for c in ("x0", "y0", "x1", "y1", "width", "height"))))
     region = F.struct(*(F.coalesce(c, F.lit(0)).alias(n) for n, c in zip(("band", "x0", "y0"), (*scores.reading_order(F.col("y0"), F.col("x0")), F.col("y0")), strict=True)), kind.alias("type"))
     told = regions.select("path", "page", region.alias("region"), engines.run("ocr", recognise, F.col("crop")).alias("words"))
     words = told.select("path", "page", "region", F.posexplode("words").alias("pos", "w")).select("path", "page", "region", "pos", "w.*")
@@ -80,15 +82,21 @@ def handwriting_regions(images: DataFrame, least_area: int = 400, least_score: f
     return kept.withColumn("hw_type", kind).orderBy("origin", *scores.reading_order(F.col("y0"), F.col("x0"), 60))
 
 
-def read_handwritten_pages(images: DataFrame, language: str = "en", engine: str | None = None, **limits: float) -> DataFrame:
+def read_handwritten_pages(images: DataFrame, language: str = "en", engine: str | None = None, segment: str | None = None, **limits: float) -> DataFrame:
     """One HTR result per decoded page (`origin`, `height`, `width`, `nChannels`, `data`): regions found, cut out, read in order and joined.
 
-    `limits` are those of `handwriting_regions`.
+    `segment` names a registered layout engine; without one `handwriting_regions` finds them within `limits`.
     """
-    found = handwriting_regions(images, **limits)
+    if segment:
+        whole = media.crop_boxes(images, images.select("origin", *(F.lit(0).alias(c) for c in ("x0", "y0")), F.col("width").alias("x1"), F.col("height").alias("y1")))
+        pages = whole.select(F.col("origin").alias("path"), F.lit(1).alias("page"), F.col("crop").alias("raster"))
+        cut = media.layout_crops(pages.withColumn("regions", engines.run("layout", segment, F.col("raster"))))
+        found = cut.select(F.col("path").alias("origin"), "x0", "y0", F.col("block_type").alias("hw_type"), "crop")
+    else:
+        found = media.crop_boxes(images, handwriting_regions(images, **limits))
     order = Window.partitionBy("origin").orderBy(*scores.reading_order(F.col("y0"), F.col("x0"), 60), "y0")
-    crops = media.crop_boxes(images, found.withColumn("pos", F.row_number().over(order)))
-    return read_handwriting(crops.select(F.col("origin").alias("document_id"), "pos", F.col("hw_type").alias("type"), "crop", F.lit(language).alias("language")), engine)
+    placed = found.withColumn("pos", F.row_number().over(order))
+    return read_handwriting(placed.select(F.col("origin").alias("document_id"), "pos", F.col("hw_type").alias("type"), "crop", F.lit(language).alias("language")), engine)
 
 
 def read_handwriting(regions: DataFrame, engine: str | None = None) -> DataFrame:

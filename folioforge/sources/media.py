@@ -249,32 +249,37 @@ def decode_image(content: bytes) -> np.ndarray:
 def layout_crops(pages: DataFrame, decode: Callable[[bytes], np.ndarray] = decode_image) -> DataFrame:
     """Layout regions of scanned pages (`path`, `page`, `raster`) with their cleaned pixels: path, page, width, height, x0 to y1, crop.
 
-    Regions of less than five pixels a side are left out.  A page without a region is one region of its whole size; so is one that does not decode, with null
+    Where pages carry `regions` (an array of boxes with `block_type`, as a layout engine makes it) those are
+    taken; else ink is searched, and block_type is null.  Regions of less than five pixels a side are left out.  A page without a region is one region of its whole size; so is one that does not decode, with null
     sizes and its raster as it is.
     """
-    kinds = [("width", pa.int32()), ("height", pa.int32()), ("x0", pa.int32()), ("y0", pa.int32()), ("x1", pa.int32()), ("y1", pa.int32()), ("crop", pa.binary())]
+    kinds = [("width", pa.int32()), ("height", pa.int32()), ("x0", pa.int32()), ("y0", pa.int32()), ("x1", pa.int32()), ("y1", pa.int32()), ("block_type", pa.string()), ("crop", pa.binary())]
+    given = "regions" in pages.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, found = [], []
-            for k, raster in enumerate(batch.column("raster").to_pylist()):
+            known = batch.column("regions").to_pylist() if given else [None] * batch.num_rows
+            for k, (raster, regions) in enumerate(zip(batch.column("raster").to_pylist(), known, strict=True)):
                 try:
-                    image = preprocess(decode(raster or b""))
+                    image = decode(raster or b"")
+                    image = image if given else preprocess(image)  # given boxes are those of the page as it is
                 except Exception:  # any decoder's: the engine gets the file as it is
                     rows.append(k)
-                    found.append((None,) * 6 + (raster,))
+                    found.append((None,) * 7 + (raster,))
                     continue
                 high, wide = image.shape[:2]
-                for x0, y0, x1, y1 in detect_layout(image) or [(0, 0, wide, high)]:
+                boxes = [(r["x0"], r["y0"], r["x1"], r["y1"], r["block_type"]) for r in regions or ()] if given else [(*box, None) for box in detect_layout(image)]
+                for x0, y0, x1, y1, kind in boxes or [(0, 0, wide, high, "body" if given else None)]:
                     if min(x1 - x0, y1 - y0) < 5:
                         continue
                     rows.append(k)
-                    found.append((wide, high, x0, y0, x1, y1, encode_pnm(image[y0:y1, x0:x1])))
-            at, columns = pa.array(rows, pa.int64()), list(zip(*found, strict=True)) or [()] * 7
+                    found.append((wide, high, x0, y0, x1, y1, kind, encode_pnm(image[y0:y1, x0:x1])))
+            at, columns = pa.array(rows, pa.int64()), list(zip(*found, strict=True)) or [()] * 8
             yield pa.RecordBatch.from_arrays([batch.column("path").take(at), batch.column("page").take(at), *(pa.array(list(c), t) for c, (_, t) in zip(columns, kinds, strict=True))], ["path", "page", *(n for n, _ in kinds)])
 
-    schema = "path string, page int, width int, height int, x0 int, y0 int, x1 int, y1 int, crop binary"
-    return pages.select("path", F.col("page").cast("int").alias("page"), "raster").mapInArrow(run, schema)
+    schema = "path string, page int, width int, height int, x0 int, y0 int, x1 int, y1 int, block_type string, crop binary"
+    return pages.select("path", F.col("page").cast("int").alias("page"), "raster", *(["regions"] if given else [])).mapInArrow(run, schema)
 
 
 def crop_boxes(images: DataFrame, boxes: DataFrame) -> DataFrame:
