@@ -233,7 +233,7 @@ def test_media(spark, tmp_path):
 def test_engines(spark):
     engines.register("htr", "fixed", lambda: lambda values: [{"text": f"t{v}", "confidence": 88.0, "language": "en"} for v in values])
     rows = spark.range(3).select(engines.run("htr", "fixed", F.col("id")).alias("r"), engines.run("htr", "none", F.col("id")).alias("n")).orderBy("r.text").collect()
-    assert [r["r"]["text"] for r in rows] == ["t0", "t1", "t2"] and rows[0]["n"]["confidence"] == 0.0 and engines.available("htr") == ["fixed"]
+    assert [r["r"]["text"] for r in rows] == ["t0", "t1", "t2"] and rows[0]["n"]["confidence"] == 0.0 and "fixed" in engines.available("htr") and "none" not in engines.available("htr")
 
 
 def test_streaming(spark, tmp_path):
@@ -250,3 +250,45 @@ def test_streaming(spark, tmp_path):
 
 def test_catalogue_names_agree():
     assert set(catalogue.oracle_sql()) <= set(catalogue.queries()) and len(catalogue.queries()) >= 45
+
+
+def test_collections_stand_apart(spark, tmp_path):
+    """An upsert touches its own collection, takes the last of repeated ids, and orders rows the same whatever their partitions."""
+    rows = [(f"c{k}", f"d{k % 3}", k, f"t{k}", [float(k), 1.0]) for k in range(30)] + [("c5", "d2", 5, "u5", [9.0, 9.0])]
+    chunks = spark.createDataFrame(rows, "chunk_id string, document_id string, chunk_index int, text string, embedding array<double>")
+    orders = []
+    for n in (1, 4):
+        table = store.VectorTable(spark, str(tmp_path / f"t{n}"))
+        table.upsert(chunks.repartition(n), "a/b")
+        table.upsert(chunks.limit(3), "other")
+        assert table.count("a/b") == 30 and table.count("other") == 3 and table.read().count() == 33
+        assert table.get(spark.createDataFrame([("c5",)], "chunk_id string"), "a/b").first()["text"] == "u5"
+        orders.append([r["chunk_id"] for r in table.read("a/b").orderBy("seq").collect()])
+        for _ in range(3):
+            table.upsert(chunks.where("chunk_id = 'c0'"), "a/b")
+        assert [r["chunk_id"] for r in table.read("a/b").orderBy("seq").collect()][-1] == "c0"
+        assert len(list((tmp_path / f"t{n}" / "c-a%2Fb").iterdir())) <= 2
+        table.delete_collection("other")
+        assert table.count("other") == 0 and table.count("a/b") == 30
+    assert orders[0] == orders[1]
+
+
+def test_knn_keeps_the_best_over_batches(spark):
+    """Small Arrow batches, many ties, fewer entries than k: the same as sorting everything."""
+    rng = np.random.default_rng(4)
+    vectors = rng.integers(-2, 3, (300, 3)).astype(float)
+    rows = [(k, k, v.tolist()) for k, v in enumerate(vectors)]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        for n, k in ((300, 5), (3, 5), (300, 1)):
+            entries = spark.createDataFrame(rows[:n], "id long, seq long, embedding array<double>").repartition(2)
+            queries = spark.createDataFrame([(q, vectors[q].tolist()) for q in range(0, 300, 50)], "query_id long, embedding array<double>")
+            got = retrieval.knn(entries, queries, k).withColumn("score", F.round("score", 9))
+            unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+            for q in range(0, 300, 50):
+                want = np.sort(np.round(unit[:n] @ unit[q], 9))[::-1][:k]
+                assert np.allclose([r["score"] for r in got.where(F.col("query_id") == q).orderBy("rank").collect()], want, atol=1e-8)
+    finally:
+        spark.conf.set(key, before)
