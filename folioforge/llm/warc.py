@@ -316,7 +316,8 @@ def check_revisits(records: DataFrame) -> DataFrame:
     """Records without their payloads; a revisit is sound only if the page it refers to has a sound response of its digest and length."""
     records = cut(records.drop("payload"))
     responses = records.where("record_type = 'response' AND sound").select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes", F.lit(True).alias("found")).distinct()
-    revisits = records.where("record_type = 'revisit'").join(responses, ["refers_to", "payload_digest", "payload_bytes"], "left")
+    # Spark takes the records for as small as the manifest that names their files, and would broadcast them.
+    revisits = records.where("record_type = 'revisit'").hint("merge").join(responses.hint("merge"), ["refers_to", "payload_digest", "payload_bytes"], "left")
     revisits = revisits.withColumn("sound", F.col("sound") & F.coalesce("found", F.lit(False))).select(*records.columns)
     return records.where("record_type <> 'revisit'").unionByName(revisits)
 
