@@ -332,3 +332,20 @@ def test_approximate_neighbours_write_no_pairs(spark, monkeypatch):
     finally:
         spark.conf.set(key, before)
     assert retrieval.approximate_knn(entries, asked.where("query_id < 0"), 5).collect() == [] and retrieval.approximate_knn(entries.where("id < 0"), asked, 5).collect() == []
+
+
+def test_recall_over_copies(spark, tmp_path):
+    """Exact copies tie in both searches by id, whatever a matrix product rounds; the query neither writes pairs nor loses recall by ties."""
+    from folioforge import catalogue
+
+    rng = np.random.default_rng(6)
+    vectors = np.tile(rng.standard_normal((101, 64)).astype(np.float32), (40, 1))
+    rows = [(i, v.tolist(), i % 10) for i, v in enumerate(vectors)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    entries, asked = catalogue._entries(spark, str(tmp_path)), catalogue._questions(spark, str(tmp_path))
+    got = {}
+    for r in retrieval.knn(entries, asked, 5).orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append(r["id"])
+    assert got == {q: [q % 101 + 101 * k for k in range(5)] for q in range(0, len(rows), 50)}
+    recall = catalogue.queries()["ann_recall"](spark, str(tmp_path))
+    assert tuple(recall.first()) == (81, True) and "Generate" not in recall._jdf.queryExecution().optimizedPlan().toString()
