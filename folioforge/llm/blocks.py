@@ -1,6 +1,6 @@
 """Vectorised word kernels over Arrow string columns.
 
-Texts are handled as UTF-8 bytes in blocks of a few megabytes, so memory is
+Texts are handled as UTF-8 bytes in blocks of a megabyte, so memory is
 bounded by the block (or by one text, if a text is longer).  A word class is a
 256-entry table over bytes: all the separators in use are ASCII, so every byte of
 a multi-byte character belongs to a word.
@@ -15,7 +15,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 _U = np.uint64
 #: Start values of two hashes that share no state.
 SEED, OTHER_SEED = 0x9E3779B97F4A7C15, 0x2545F4914F6CDD1D

@@ -31,7 +31,7 @@ def fresh_path(spark: SparkSession, what: str) -> str:
 
 #: Bytes of an Arrow batch between the JVM and a Python worker.  Spark's own bound is a number of rows,
 #: whatever their size, and every task holds a few batches on both sides.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import re
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -355,6 +356,28 @@ def test_personal_data_of_a_crowded_text(spark):
     assert kinds["secret"] == 4000 and kinds["phone"] >= 3900
 
 
+def test_a_batch_takes_little_memory(spark):
+    """Kernels of the pipeline over 4 MB of texts at once: what they hold beside the batch stays under 36 MB, as an executor has two of them."""
+    import tracemalloc
+
+    from folioforge.llm import staging
+
+    words = np.array([f"w{i}" for i in range(2000)])
+    rng = np.random.default_rng(1)
+    texts = [" ".join(words[rng.integers(0, 2000, 400)]) for _ in range(2000)]
+    ids = pa.array(range(len(texts)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, pa.array(texts), ids, ids, ids], ["doc_id", "text", "s1", "s2", "stamp"])
+    held = SimpleNamespace(value=np.zeros(64, np.uint64))
+    for kernel in (decontaminate._candidates(held, [13]), neardup._signatures(neardup.Tensoring())):
+        tracemalloc.start()
+        rows = sum(out.num_rows for out in kernel(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows == len(texts) and peak < 36 << 20
+    staging.bound_batches(spark)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 2 << 20
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
